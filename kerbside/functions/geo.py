@@ -74,18 +74,19 @@ def line_length(pts: Column, geodesic: bool = False) -> Column:
 def point_at(pts: Column, fraction: Column, geodesic: bool = False) -> Column:
     """The point a fraction of the way along a line, as a struct."""
     measure = haversine_m if geodesic else planar_m
-    target = F.greatest(F.least(fraction, F.lit(1.0)), F.lit(0.0)) * line_length(pts, geodesic)
-    start = F.struct(F.lit(0.0).alias("done"), pts[0]["x"].alias("x"), pts[0]["y"].alias("y"))
+    share_of_line = F.greatest(F.least(fraction, F.lit(1.0)), F.lit(0.0))
+    # ``left`` is what remains to walk; it stays with the state so that the length is summed only once.
+    start = F.struct((share_of_line * line_length(pts, geodesic)).alias("left"),
+                     pts[0]["x"].alias("x"), pts[0]["y"].alias("y"))
 
     def step(state: Column, leg: Column) -> Column:
         length = measure(leg["x1"], leg["y1"], leg["x2"], leg["y2"])
-        share = F.when(length > 0, F.greatest(F.least((target - state["done"]) / length, F.lit(1.0)),
-                                              F.lit(0.0))).otherwise(F.lit(0.0))
-        reached = state["done"] <= target
+        share = F.least(F.coalesce(F.try_divide(state["left"], length), F.lit(0.0)), F.lit(1.0))
+        walking = state["left"] > 0
         return F.struct(
-            (state["done"] + length).alias("done"),
-            F.when(reached, leg["x1"] + (leg["x2"] - leg["x1"]) * share).otherwise(state["x"]).alias("x"),
-            F.when(reached, leg["y1"] + (leg["y2"] - leg["y1"]) * share).otherwise(state["y"]).alias("y"))
+            (state["left"] - length).alias("left"),
+            F.when(walking, leg["x1"] + (leg["x2"] - leg["x1"]) * share).otherwise(state["x"]).alias("x"),
+            F.when(walking, leg["y1"] + (leg["y2"] - leg["y1"]) * share).otherwise(state["y"]).alias("y"))
 
     return F.aggregate(leg_array(pts), start, step,
                        lambda state: F.struct(state["x"].alias("x"), state["y"].alias("y")))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.operators.skew import HOT_MIN_ROWS, HOT_SHARE, lookup_join
+from kerbside.operators.skew import HOT_MIN_ROWS, lookup_join
 
 BUCKETS_PER_OCTAVE = 256
 _ZERO_OFFSET = 1100 * BUCKETS_PER_OCTAVE  # beyond the exponent range of a double
@@ -57,7 +57,8 @@ def percent_rank_pct(df: DataFrame, id_col: str, value: str, out: str, skip_null
     """``percent_rank() * 100`` of ``value`` over all rows; ties share the lowest rank.
 
     Ranks are decided on 32-bit values, the precision scores are stored in. With ``skip_null`` rows
-    without a value are left unranked (null); otherwise nulls rank last like any other value.
+    without a value are left unranked (null); otherwise nulls rank last like any other value. The input
+    is read several times, so an expensive one should be stored first (``session.stored``).
     """
     keyed = df.withColumn("__rank_value", F.col(value).cast("float"))
     ranked_rows = keyed.where(F.col("__rank_value").isNotNull())
@@ -71,9 +72,7 @@ def percent_rank_pct(df: DataFrame, id_col: str, value: str, out: str, skip_null
         "__rank_value",
         F.when(denominator > 0, F.col("before") / denominator * 100.0).otherwise(F.lit(0.0))
         .alias(out))
-    # The counts are at hand, so the values shared by many rows need no counting pass of their own.
-    hot = ranks.where(F.col("n") >= F.greatest(F.col("total") / HOT_SHARE, F.lit(float(min_rows))))
-    result = lookup_join(keyed, table, ["__rank_value"], F.col(id_col), "left", hot=hot)
+    result = lookup_join(keyed, table, ["__rank_value"], F.col(id_col), "left", min_rows)
     if not skip_null:
         present = ranked_rows.agg(F.count(F.lit(1))).scalar()
         result = result.withColumn(out, F.when(

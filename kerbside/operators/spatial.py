@@ -76,7 +76,7 @@ def points_near_legs(points: DataFrame, legs: DataFrame, radius: float, point_id
     size = float(size or radius)
     left = in_cell(points, "x", "y", size)
     right = over_cells(cut_legs(legs, MAX_LEG_CELLS * size), size, radius)
-    left, right = salted_pair(left, right, CELL, F.col(point_id), min_rows)
+    left, right = salted_pair(left, right, CELL, F.col(point_id), hot_keys(left, CELL, min_rows))
     distance = point_leg_m(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
     joined = left.join(right, list(PLACE), "left" if keep_points else "inner")
     if keep_points:
@@ -108,17 +108,20 @@ def nearest_leg_by_class(points: DataFrame, legs: DataFrame, radius: float, poin
              .withColumn("nearest_m", F.lit(None).cast("double")))
     carried = [*points.columns, class_col]
     lines = legs.select(class_col, "x1", "y1", "x2", "y2").distinct()  # copies cannot change a minimum
-    for level in range(levels - 1, -1, -1):
-        reach = radius / (2 ** level)
+    reaches = [radius / 2 ** level for level in range(levels - 1, -1, -1)]
+    # Hot cells of all levels are read off the points in one job; the plan stays a single chain.
+    hot = hot_keys(points.withColumn("reach", F.explode(F.array(*[F.lit(float(r)) for r in reaches])))
+                   .withColumn("cx", F.floor(F.col("x") / F.col("reach")))
+                   .withColumn("cy", F.floor(F.col("y") / F.col("reach"))), ["reach", *CELL], min_rows)
+    for reach in reaches:
         open_row = F.col("nearest_m").isNull()
         left = in_cell(state, "x", "y", reach).withColumn(
             # A finished row gets a part number of its own kind: it matches nothing and is spread out.
             "part", F.when(open_row, F.lit(-1)).otherwise(F.pmod(F.xxhash64(point_id), F.lit(1024)).cast("int")))
         right = (over_cells(cut_legs(lines, MAX_LEG_CELLS * reach), reach, reach)
                  .withColumn("part", F.lit(-1)))
-        # Hot cells are read off the points themselves, which keeps the plan a single chain.
-        hot = hot_keys(in_cell(points, "x", "y", reach), CELL, min_rows)
-        left, right = salted_pair(left, right, CELL, F.col(point_id), hot=hot)
+        here = None if hot is None else hot.where(F.col("reach") == reach).drop("reach")
+        left, right = salted_pair(left, right, CELL, F.col(point_id), here)
         keys = [class_col, *CELL, "part"]
         distance = point_leg_m(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
         joined = left.join(right, [*keys, "salt"], "left").withColumn("d", distance)
@@ -159,7 +162,8 @@ def in_areas(points: DataFrame, areas: DataFrame, point_id: str, area_id: str =
     boxed = (areas.select(area_id, "rings", F.array_min(xs).alias("x1"), F.array_max(xs).alias("x2"),
                           F.array_min(ys).alias("y1"), F.array_max(ys).alias("y2")))
     right = over_cells(boxed, size, 0.0)
-    left, right = salted_pair(in_cell(points, "x", "y", size), right, CELL, F.col(point_id), min_rows)
+    left = in_cell(points, "x", "y", size)
+    left, right = salted_pair(left, right, CELL, F.col(point_id), hot_keys(left, CELL, min_rows))
     inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
     return (left.join(right, [*CELL, "salt"]).where(inside)
             .where(in_rings(F.col("x"), F.col("y"), F.col("rings")))
