@@ -272,7 +272,7 @@ def graded(t: Tables):
 
 
 @register("d14_segment_grades", GRADE_SQL + f"""
-SELECT segment_id, {q4('greatest(least(raw,20),-20)')} AS grade_pct,
+SELECT segment_id, CASE WHEN raw IS NOT NULL THEN {q4('greatest(least(raw,20),-20)')} END AS grade_pct,
   cast(coalesce(raw>20 OR raw<-20,false) as bigint) AS was_clamped FROM g""", ("fx_segment", "fx_cell"))
 def d14(t: Tables):
     return graded(t).select("segment_id", r4("grade_pct").alias("grade_pct"),
@@ -282,8 +282,8 @@ def d14(t: Tables):
 @register("d18_grade_stats", GRADE_SQL + f"""
 SELECT cast(count(*) as bigint) AS segment_count, count(raw) AS graded_count,
   count(*) FILTER (WHERE raw>20 OR raw<-20) AS clamped_count,
-  {q4('min(greatest(least(raw,20),-20))')} AS minimum_grade_pct,
-  {q4('max(greatest(least(raw,20),-20))')} AS maximum_grade_pct FROM g""", ("fx_segment", "fx_cell"))
+  {q4('min(CASE WHEN raw IS NOT NULL THEN greatest(least(raw,20),-20) END)')} AS minimum_grade_pct,
+  {q4('max(CASE WHEN raw IS NOT NULL THEN greatest(least(raw,20),-20) END)')} AS maximum_grade_pct FROM g""", ("fx_segment", "fx_cell"))
 def d18_grades(t: Tables):
     return (network.grade_stats(graded(t)).withColumn("minimum_grade_pct", r4("minimum_grade_pct"))
             .withColumn("maximum_grade_pct", r4("maximum_grade_pct")))

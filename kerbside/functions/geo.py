@@ -167,10 +167,9 @@ def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def mercator_tile(mx: Column, my: Column, zoom: Column | int) -> tuple[Column, Column]:
+def mercator_tile(mx: Column, my: Column, zoom: int) -> tuple[Column, Column]:
     """Tile column and row of a web-mercator position."""
-    zoom = F.lit(zoom) if isinstance(zoom, int) else zoom
-    per_side = F.shiftleft(F.lit(1).cast("long"), zoom) if not isinstance(zoom, int) else F.lit(1 << zoom)
+    per_side = F.lit(1 << zoom)
     world = F.lit(2 * MERCATOR_HALF_M)
     last = per_side - 1
     col = F.floor((mx + F.lit(MERCATOR_HALF_M)) / world * per_side)

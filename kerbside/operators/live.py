@@ -10,7 +10,7 @@ from kerbside.functions.rules import aqi_category, pollen_category
 from kerbside.functions.text import area_name
 from kerbside.operators.exposure import active_permits
 from kerbside.operators.ranking import exact_quantiles, latest_per
-from kerbside.operators.spatial import cell
+from kerbside.operators.spatial import cell, in_areas
 from kerbside.vocab import (CONSTRUCTION_RADIUS_M, FIELD_LOOKBACK_HOURS, HAZARDS, MAX_HAZARD_FIELDS,
                             POLLEN_ACTIVE_UPI, POLLEN_HAZARDS, RASTER_HAZARDS, READING_LOOKBACK_HOURS,
                             SCALAR_RANGE, SHADE_HEAT_C, TREE_POLLEN_MONTHS)
@@ -198,3 +198,26 @@ def current_fields(fields: DataFrame, as_of: Column, hours: float = FIELD_LOOKBA
     return (recent.join(F.broadcast(newest), ["hazard", "observed_at"])  # at most one row per hazard
             .withColumn("area_id", area_name(F.col("hazard"), F.col("severity")))
             .orderBy("hazard", "severity"))
+
+
+def lattice(boundary: DataFrame, spacing_m: float) -> DataFrame:
+    """Regular points inside a boundary, half a step in from its box; i and j number columns and rows.
+
+    ``boundary`` holds one area per row with ``rings``; points inside several are listed once.
+    """
+
+    flat = F.flatten(F.col("rings"))
+    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
+    box = boundary.agg(F.min(F.array_min(xs)).alias("x0"), F.max(F.array_max(xs)).alias("x1"),
+                       F.min(F.array_min(ys)).alias("y0"), F.max(F.array_max(ys)).alias("y1"))
+    step = F.lit(float(spacing_m))
+    last = lambda a, b: F.floor((F.col(b) - F.col(a)) / step - 0.5)
+    columns = box.where(last("x0", "x1") >= 0).where(last("y0", "y1") >= 0).withColumn(
+        "i", F.explode(F.sequence(F.lit(0).cast("long"), last("x0", "x1"))))
+    points = columns.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last("y0", "y1")))).select(
+        "i", "j", (F.col("x0") + (F.col("i") + 0.5) * step).alias("x"),
+        (F.col("y0") + (F.col("j") + 0.5) * step).alias("y"))
+    named = boundary.select("rings").withColumn("area_id", F.xxhash64("rings"))
+    spaced = points.withColumn("point_id", F.struct("i", "j"))
+    inside = in_areas(spaced, named, "point_id", size=max(spacing_m * 4, 1.0))
+    return inside.select("i", "j", "x", "y").distinct()

@@ -181,3 +181,9 @@ def hard_avoid(edges: DataFrame) -> DataFrame:
                | (F.array_contains(avoids, "grade_above_6_pct") & (grade > 6.0))
                | (F.array_contains(avoids, "industrial_within_200m") & (F.col("industrial_within_200m") > 0)))
     return edges.withColumn("blocked", blocked)
+
+
+def enabled_areas(areas: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(profile, area) for the areas of hazards a profile gives weight to."""
+    wanted = profiles.select("profile_id", F.explode("weights").alias("hazard", "weight")).where("weight > 0")
+    return wanted.join(areas, "hazard")
