@@ -122,7 +122,7 @@ def k5_areas(t: Tables):
 
 
 @register("k5_live_priority", f"""WITH {TOUCHED}, m AS (SELECT e.edge_id, CASE WHEN n=3 AND bool_or(t.hazard='construction') THEN 0.0 ELSE
-  coalesce(product(CASE WHEN (CASE t.hazard WHEN 'pm25' THEN w_pm25 ELSE w_construction END)>0 THEN floor(greatest(0.1, 1-t.severity*0.1875*least(greatest((CASE t.hazard WHEN 'pm25' THEN w_pm25 ELSE w_construction END)*conservatism/3,0),1))*10000+0.5)/10000 ELSE 1.0 END),1.0) END AS live_priority
+  coalesce(product(CASE WHEN t.hazard IS NULL THEN 1.0 WHEN (CASE t.hazard WHEN 'pm25' THEN w_pm25 ELSE w_construction END)>0 THEN floor(greatest(0.1, 1-t.severity*0.1875*least(greatest((CASE t.hazard WHEN 'pm25' THEN w_pm25 ELSE w_construction END)*conservatism/3,0),1))*10000+0.5)/10000 ELSE 1.0 END),1.0) END AS live_priority
   FROM ed e JOIN prof USING (profile_id) LEFT JOIN wide USING (profile_id) LEFT JOIN touched t USING (edge_id) GROUP BY e.edge_id, n)
 SELECT edge_id, {q4('live_priority', 6)} AS live_priority FROM m""", ("fx_segment", "fx_wayq", "fx_cell", "fx_permit"))
 def k5(t: Tables):

@@ -46,7 +46,7 @@ def f_to_c(value: Column) -> Column:
 def first_number(value: Column) -> Column:
     """First token that reads as a number (``10 to 15 mph`` gives 10)."""
     tokens = F.split(F.trim(F.regexp_replace(value, "to", " ")), r"\s+")
-    return F.filter(F.transform(tokens, lambda t: t.try_cast("double")), lambda n: n.isNotNull())[0]
+    return F.get(F.filter(F.transform(tokens, lambda t: t.try_cast("double")), lambda n: n.isNotNull()), F.lit(0))
 
 
 def wind_bearing(direction: Column) -> Column:
