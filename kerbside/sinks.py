@@ -7,6 +7,7 @@ table readable and readers never see a half-written one.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -23,24 +24,29 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the live version, or None for a table not yet written."""
+def _read_pointer(spark: SparkSession, path: str) -> str | None:
     fs, pointer = _fs(spark, f"{path}/_current")
     if not fs.exists(pointer):
         return None
     stream = fs.open(pointer)
     try:
-        name = bytes(stream.readAllBytes()).decode().strip()
+        return bytes(stream.readAllBytes()).decode().strip()
     finally:
         stream.close()
-    return f"{path}/{name}"
 
 
-def _publish(spark: SparkSession, path: str, version: str) -> None:
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the live version, or None for a table not yet written."""
+    name = _read_pointer(spark, path)
+    return None if name is None else f"{path}/{name}"
+
+
+def _publish(spark: SparkSession, path: str, content: str) -> None:
+    """Replace the pointer file in one rename."""
     fs, pointer = _fs(spark, f"{path}/_current")
-    _, staged = _fs(spark, f"{path}/_next-{version}")
+    _, staged = _fs(spark, f"{path}/_next-{uuid.uuid4().hex}")
     out = fs.create(staged, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(content.encode()))
     out.close()
     context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
@@ -100,29 +106,46 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], order: Column | None =
     return replace_table(merged(read_table(spark, path), incoming, keys), path, partition_by)
 
 
+def _manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    """Live folder of every partition, relative to the table."""
+    text = _read_pointer(spark, path)
+    return json.loads(text) if text else {}
+
+
 def upsert_partitions(df: DataFrame, path: str, keys: Sequence[str], partition: str,
                       order: Column | None = None) -> None:
-    """Upsert into a partitioned table, rewriting only the partitions the batch touches.
+    """Upsert into a partitioned table, reading and rewriting only the partitions the batch touches.
 
-    Meant for small frequent batches (the reading stream): the number of touched partitions is bounded by
-    the days in a batch, and other partitions are neither read nor written. Every touched partition is a
-    versioned table of its own, so a failure leaves each partition either old or new.
+    The pointer file maps each partition to its folder. One job writes the touched partitions to a new
+    folder, then the pointer is replaced, so all of them change at once or not at all. Meant for small
+    frequent batches: the partitions named here are the days of one batch.
     """
-    incoming = last_per_key(df, keys, order)
-    for row in incoming.select(F.col(partition).cast("string").alias("p")).distinct().toLocalIterator():
-        part = incoming.where(F.col(partition).cast("string") == row["p"]).drop(partition)
-        upsert(part, f"{path}/{partition}={row['p']}", [k for k in keys if k != partition])
+    spark = df.sparkSession
+    incoming = last_per_key(df, keys, order).withColumn("__part", F.col(partition).cast("string")).persist()
+    try:
+        touched = sorted(r["__part"] for r in incoming.select("__part").distinct().toLocalIterator())
+        if not touched:
+            return
+        manifest = _manifest(spark, path)
+        old = [f"{path}/{manifest[p]}" for p in touched if p in manifest]
+        rows = incoming
+        if old:
+            kept = spark.read.schema(df.schema).parquet(*old).join(incoming.select(*keys), list(keys), "left_anti")
+            rows = kept.select(*df.columns).withColumn("__part", F.col(partition).cast("string")).unionByName(incoming)
+        version = f"v-{uuid.uuid4().hex}"
+        # One file set per partition: rows of a partition meet in the shuffle, split further when large.
+        rows.repartition("__part", F.pmod(F.xxhash64(*keys), F.lit(4))).write.partitionBy("__part").parquet(f"{path}/{version}")
+        _publish(spark, path, json.dumps({**manifest, **{p: f"{version}/__part={p}" for p in touched}}))
+    finally:
+        incoming.unpersist()
 
 
-def read_partitions(spark: SparkSession, path: str, partition: str) -> DataFrame:
+def read_partitions(spark: SparkSession, path: str) -> DataFrame:
     """All live partitions of a table written by ``upsert_partitions``."""
-    fs, root = _fs(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    live = [current_version(spark, f"{path}/{n}") for n in sorted(names) if n.startswith(f"{partition}=")]
-    live = [v for v in live if v]
-    if not live:
+    manifest = _manifest(spark, path)
+    if not manifest:
         raise FileNotFoundError(f"no partition of {path} has been published")
-    return spark.read.parquet(*live)
+    return spark.read.parquet(*[f"{path}/{folder}" for _, folder in sorted(manifest.items())])
 
 
 def merge_family(scores: DataFrame | None, update: DataFrame, columns: Sequence[str], key: str = "segment_id",

@@ -1 +1 @@
-
+"""The fast clock as Structured Streaming jobs."""
