@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import Tables, micros, q4, r4, register
 from kerbside.operators import imagery, network
 from kerbside.operators.ranking import drop_repeats, number_rows
+from kerbside.session import stored
 from kerbside.vocab import PERSON_CLASSES, VEHICLE_CLASSES
 
 SNAP = """snapped AS (
@@ -56,7 +57,8 @@ fr AS (SELECT route_id, s, o, bearing, image_id, d, row_number() OVER (PARTITION
 
 
 def frames(t: Tables):
-    return imagery.sample_route_images(routes(t), t.image()).withColumn("analysis_id", F.col("route_id"))
+    return stored(imagery.sample_route_images(routes(t), t.image()).withColumn("analysis_id", F.col("route_id")),
+                  "route_analysis_frame")
 
 
 @register("c8_sample_route_images", f"WITH {FRAMES} SELECT route_id, cast(s as bigint) AS step, seq, image_id, {q4('bearing')} AS bearing_deg, {q4('d')} AS image_distance_m FROM fr", ("fx_image",))

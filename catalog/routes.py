@@ -309,15 +309,14 @@ def c15(t: Tables):
     return out
 
 
-@register("k11_accepted_feedback", """SELECT o_orderkey AS feedback_id, cast(o_orderkey%26 as bigint) AS segments FROM orders WHERE o_custkey%10<>0 AND o_orderkey%26<=20 AND o_orderkey%11<>0""")
+@register("k11_accepted_feedback", """SELECT o_orderkey AS feedback_id, cast(o_orderkey%26 as bigint) AS segments FROM orders WHERE o_custkey%10<>0 AND o_orderkey%26<=20 AND (o_orderkey%11<>0 OR o_orderkey%26=0)""")
 def k11(t: Tables):
     marks = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.when((F.col("o_orderkey") % 11 == 0), F.lit(-1)).otherwise(i))
     feedback = t.raw("orders").select(
         F.col("o_orderkey").alias("feedback_id"), F.col("o_orderkey").alias("route_id"), F.col("o_custkey").alias("user_id"), F.lit(True).alias("felt_worse"),
         F.when(F.col("o_orderkey") % 26 > 0, F.slice(marks, F.lit(1), (F.col("o_orderkey") % 26).cast("int"))).alias("which_segments"))
     kept = routes.accepted_feedback(feedback, t.route())
-    # An empty list carries no bad number, so only routes with at least one can be refused for it.
-    return kept.where("feedback_id%11<>0").select("feedback_id", F.size("which_segments").cast("long").alias("segments"))
+    return kept.select("feedback_id", F.size("which_segments").cast("long").alias("segments"))
 
 
 # --- tiles -------------------------------------------------------------------------------------------

@@ -212,9 +212,12 @@ def h21(t: Tables):
     return t.raw("events").select("event_id", text.canonical_key(alias, MODE_ALIASES, "foot", strict=False).alias("mode"))
 
 
-@register("h22_request_id", "SELECT page_id, regexp_replace(left(url, 60), '[^A-Za-z0-9_.:-]', '', 'g') AS request_id FROM pages")
+@register("h22_request_id", "SELECT page_id, CASE WHEN length(url)<=64 THEN regexp_replace(url, '[^A-Za-z0-9_.:-]', '', 'g') ELSE '36' END AS request_id FROM pages")
 def h22(t: Tables):
-    return t.raw("pages").select("page_id", text.clean_request_id(F.substring("url", 1, 60)).alias("request_id"))
+    """Overlong ids get a new random one, of which only the length can be compared."""
+    clean = text.clean_request_id(F.col("url"))
+    return t.raw("pages").select("page_id", F.when(F.length("url") <= 64, clean)
+                                 .otherwise(F.length(clean).cast("string")).alias("request_id"))
 
 
 # --- predicates ------------------------------------------------------------------------------------

@@ -123,7 +123,8 @@ def c6(t: Tables):
 SELECT segment_id, {q4('percent_rank() OVER (ORDER BY v)*100')} AS score
 FROM (SELECT segment_id, cast(raw_value as float) AS v FROM fx_segment)""", ("fx_segment",))
 def e2(t: Tables):
-    out = percent_rank_pct(t.segment().select("segment_id", "raw_value"), "segment_id", "raw_value", "score")
+    samples = stored(t.segment().select("segment_id", "raw_value"), "raw_sample")
+    out = percent_rank_pct(samples, "segment_id", "raw_value", "score")
     return out.select("segment_id", r4("score").alias("score"))
 
 

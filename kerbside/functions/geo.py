@@ -43,16 +43,13 @@ def angle_diff(a: Column, b: Column) -> Column:
 def point_leg_m(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance from a point to a straight leg.
 
-    Inside the leg's span the perpendicular comes from the cross product, so axis-aligned legs
-    give the plain coordinate difference.
+    Kept free of branches: the compiled join loop stays small enough for the JVM to optimise.
     """
-    dx, dy = x2 - x1, y2 - y1
-    length2 = dx * dx + dy * dy
-    along = (px - x1) * dx + (py - y1) * dy
-    cross = dx * (py - y1) - dy * (px - x1)
-    return (F.when((length2 == 0) | (along <= 0), planar_m(px, py, x1, y1))
-            .when(along >= length2, planar_m(px, py, x2, y2))
-            .otherwise(F.abs(cross) / F.sqrt(length2)))
+    dx, dy, ax, ay = x2 - x1, y2 - y1, px - x1, py - y1
+    # A leg without length divides to null, which greatest() passes over.
+    t = F.least(F.greatest(F.try_divide(ax * dx + ay * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+    ex, ey = ax - t * dx, ay - t * dy
+    return F.sqrt(ex * ex + ey * ey)
 
 
 # --- lines held in arrays ------------------------------------------------------------------------

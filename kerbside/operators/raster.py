@@ -14,31 +14,33 @@ from kerbside.vocab import LONG_SEGMENT_FRACTIONS, LONG_SEGMENT_M, MAX_GRADE_PCT
 
 
 def sample_raster(points: DataFrame, cells: DataFrame, meta: DataFrame, point_id: str = "point_id",
-                  value: str = "value", min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                  value: str = "value", min_rows: int = HOT_MIN_ROWS, base: DataFrame | None = None) -> DataFrame:
     """Cell value under each point; null outside the grid or on no-data.
 
     ``meta`` has one row per raster in reading order (raster, priority, origin_x, origin_y, cell_x,
     cell_y, n_rows, n_cols, nodata); rows count downwards from origin_y. Where several rasters cover a
     point, the first one with a valid value wins. Rasters are few files, so ``meta`` is collected into
-    the plan and every raster costs one lookup join.
+    the plan and every raster costs one lookup join. ``base`` may give the same points before they were
+    joined to anything, from which busy cells are counted.
     """
     rasters = meta.orderBy("priority").limit(MAX_RASTERS + 1).collect()
     if len(rasters) > MAX_RASTERS:
         raise ValueError(f"more than {MAX_RASTERS} rasters; merge tiles into one grid first")
     found: list[str] = []
     out = points
+    base = points if base is None else base
     for i, r in enumerate(rasters):
         col = F.floor((F.col("x") - F.lit(r["origin_x"])) / F.lit(r["cell_x"]))
         row = F.floor((F.lit(r["origin_y"]) - F.col("y")) / F.lit(r["cell_y"]))
         inside = col.between(0, r["n_cols"] - 1) & row.between(0, r["n_rows"] - 1)
-        keyed = (out.withColumn("__col", F.when(inside, col)).withColumn("__row", F.when(inside, row)))
+        keys = {"__col": F.when(inside, col), "__row": F.when(inside, row)}
         grid = (cells.where(F.col("raster") == r["raster"])
                 .where(finite(F.col("value")) if r["nodata"] is None
                        else finite(F.col("value")) & (F.col("value") != F.lit(r["nodata"])))
                 .select(F.col("row").cast("long").alias("__row"), F.col("col").cast("long").alias("__col"),
                         F.col("value").cast("double").alias(f"__v{i}")))
-        out = lookup_join(keyed, grid, ["__row", "__col"], F.col(point_id), "left", min_rows) \
-            .drop("__row", "__col")
+        out = lookup_join(out.withColumns(keys), grid, ["__row", "__col"], F.col(point_id), "left", min_rows,
+                          hot_source=base.withColumns(keys)).drop("__row", "__col")
         found.append(f"__v{i}")
     picked = F.coalesce(*[F.col(f) for f in found]) if found else F.lit(None).cast("double")
     return out.withColumn(value, picked).drop(*found)
@@ -84,5 +86,5 @@ def pollutant_samples(segments: DataFrame, cells: DataFrame, meta: DataFrame,
     hazards = ("pm25", "no2", "ozone")
     sampled = reduce(
         lambda df, hazard: sample_raster(df, cells, meta.where(F.col("hazard") == hazard), "segment_id",
-                                         f"{hazard}_raw", min_rows), hazards, points)
+                                         f"{hazard}_raw", min_rows, points), hazards, points)
     return sampled.groupBy("segment_id").agg(*[F.avg(f"{h}_raw").alias(f"{h}_raw") for h in hazards])

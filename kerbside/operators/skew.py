@@ -59,17 +59,19 @@ def salted_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column,
-                how: str = "left", min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                how: str = "left", min_rows: int = HOT_MIN_ROWS,
+                hot_source: DataFrame | None = None) -> DataFrame:
     """Many-to-one join (``right`` has one row per key) that a hot or null left key cannot skew.
 
     The right rows of the hot keys (at most HOT_SHARE) are broadcast; the left rows they serve, and rows
-    with a null key, are scattered over the shuffle by a second key part that matches nothing.
+    with a null key, are scattered over the shuffle by a second key part that matches nothing. Keys are
+    counted in ``hot_source`` where given: a cheaper input with the same key distribution as ``left``.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     keys = list(keys)
     payload = [c for c in right.columns if c not in keys]
-    hot = hot_keys(left.select(*keys).na.drop(), keys, min_rows)
+    hot = hot_keys((left if hot_source is None else hot_source).select(*keys).na.drop(), keys, min_rows)
     if how == "inner":
         left = left.na.drop(subset=keys)
         if hot is None:
