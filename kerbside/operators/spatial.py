@@ -251,25 +251,31 @@ def cluster_points(points: DataFrame, eps: float, point_id: str = "facility_id",
 
 
 def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node name of each connected component.
+    """Smallest node name of each connected component; ``edges`` lists both directions.
 
-    Every round takes the smallest label among the neighbours and then jumps to that label's own label,
-    which halves the remaining distance, so long chains settle in a logarithmic number of rounds.
+    Each node points to a smaller-named node. Per round the smallest grandparent among a node's neighbours
+    is offered to the node and to the node it points to, and pointers are shortened, so whole trees merge at
+    once and the number of rounds grows with the logarithm of the longest chain.
     """
     from kerbside.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(nodes.sparkSession)
     labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
     for _ in range(max_rounds):
-        offered = (edges.join(labels.withColumnRenamed("node", "node_2"), "node_2")
-                   .groupBy("node").agg(F.min("label").alias("offer")))
-        lowered = labels.join(offered, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         # One label may cover a third of the nodes, so this lookup is the skew-safe kind.
-        moved = (lookup_join(lowered, jump, ["label"], F.col("node"))
-                 .select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-                 .checkpoint())
+        parents = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        pointed = lookup_join(labels, parents, ["label"], F.col("node"), "inner")
+        offered = (edges.join(pointed.select(F.col("node").alias("node_2"), F.col("top").alias("offer")), "node_2")
+                   .groupBy("node").agg(F.min("offer").alias("offer")))
+        reach = pointed.join(offered, "node", "left")
+        # (node to change, its present label where the row is its own, new label)
+        moves = F.explode(F.array(
+            F.struct(F.col("node").alias("node"), F.col("label").alias("old"),
+                     F.least("top", F.coalesce("offer", "top")).alias("new")),
+            F.struct(F.col("label").alias("node"), F.lit(None).cast("string").alias("old"),
+                     F.coalesce("offer", "label").alias("new"))))
+        moved = (reach.select(moves.alias("m")).groupBy(F.col("m.node").alias("node"))
+                 .agg(F.max("m.old").alias("old"), F.min("m.new").alias("label")).checkpoint())
         labels = moved.select("node", "label")
         if moved.where(F.col("old") != F.col("label")).isEmpty():
             return labels
