@@ -44,7 +44,7 @@ def route_steps(routes: DataFrame, interval_m: float = SAMPLE_INTERVAL_M,
             .withColumn("leg_m", planar_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))))
     run = running_length(legs, "route_id", "pos", "leg_m", "end_m")
     total = run.groupBy("route_id").agg(F.max("end_m").alias("length_m"))
-    placed = lookup_join(run, total, ["route_id"], F.col("pos"), "inner").withColumn(
+    placed = lookup_join(run, total, ["route_id"], F.col("pos"), "inner", hot_source=legs).withColumn(
         "start_m", F.col("end_m") - F.col("leg_m"))
     first = F.greatest(F.floor((F.col("start_m") - span_m) / interval_m), F.lit(0))
     last = F.least(F.ceil((F.col("end_m") + span_m) / interval_m), F.floor(F.col("length_m") / interval_m))
