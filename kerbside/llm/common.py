@@ -10,9 +10,14 @@ from kerbside.session import ensure_checkpoint_dir
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def text_of(column: str) -> Column:
+    """A text column; null is the empty text."""
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
 def keyed_text(records: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns an operator reads, as ``key`` and ``text``; a null text is the empty one."""
-    return records.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return records.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"))
 
 
 def ascii_lower(value: Column) -> Column:

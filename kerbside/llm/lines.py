@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import SPACES, ascii_lower, keyed_text
+from kerbside.llm.common import SPACES, ascii_lower, text_of
 
 
 def _without(lines: Column, dropped: Column) -> Column:
@@ -22,12 +24,13 @@ def _without(lines: Column, dropped: Column) -> Column:
 
 
 def drop_repeated_lines(alerts: DataFrame, alert_id: str = "alert_id", description: str = "description",
-                        min_length: int = 10, min_alerts: int = 2) -> DataFrame:
+                        min_length: int = 10, min_alerts: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """Remove lines that ``min_alerts`` or more alerts share, except in the alert with the smallest id.
 
     Lines end at ``\\n``. Two lines are the same if they agree after stripping ASCII white space at both
     ends and lower-casing A-Z; lines of fewer than ``min_length`` characters are never dropped. Returns one
-    row per input row: ``alert_id``, ``description`` (what is left), ``n_lines`` and ``n_dropped``.
+    row per input row: ``alert_id``, ``description`` (what is left), ``n_lines`` and ``n_dropped``, and the
+    columns named in ``carry`` unchanged.
 
     Lines are exploded and hashed to 128 bits; alerts are counted per hash with map-side combining, the
     hashes over the threshold meet the lines again in a join that adaptive execution can split, and each
@@ -37,7 +40,9 @@ def drop_repeated_lines(alerts: DataFrame, alert_id: str = "alert_id", descripti
     without an id is returned unchanged and counts nowhere; lines repeated inside one alert alone stay; an
     empty table gives an empty result; other columns are not read.
     """
-    rows = keyed_text(alerts, alert_id, description).withColumn("version", F.xxhash64("text"))
+    carried = F.struct(F.lit(None).alias("none"), *[F.col(f"`{c}`") for c in carry])
+    rows = alerts.select(F.col(f"`{alert_id}`").alias("key"), text_of(description).alias("text"), carried.alias("carried")).withColumn(
+        "version", F.xxhash64("text"))
     exploded = rows.where("key is not null").select("key", "version", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     normal = ascii_lower(F.btrim(F.col("line"), F.lit(SPACES)))
     lines = (exploded.select("key", "version", "at", normal.alias("line")).where(F.char_length("line") >= min_length)
@@ -49,8 +54,9 @@ def drop_repeated_lines(alerts: DataFrame, alert_id: str = "alert_id", descripti
                   .where(F.col("n") >= min_alerts))
     dropped = (lines.join(shared.select("h1", "h2", "first"), ["h1", "h2"]).where("key > first")
                .groupBy("key", "version").agg(F.array_sort(F.collect_set("at")).alias("dropped")))
-    split = rows.join(dropped, ["key", "version"], "left").select("key", "dropped", "text", F.split("text", "\n").alias("lines"))
+    split = rows.join(dropped, ["key", "version"], "left").select("key", "carried", "dropped", "text", F.split("text", "\n").alias("lines"))
     kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(
         F.array_join(_without(F.col("lines"), F.col("dropped")), "\n"))
     return split.select(F.col("key").alias(alert_id), kept.alias(description), F.size("lines").cast("long").alias("n_lines"),
-                        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+                        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+                        *[F.col("carried")[c].alias(c) for c in carry])

@@ -74,3 +74,142 @@ def op9(spark, sf_dir):
     from kerbside.llm.lines import drop_repeated_lines
     kept = drop_repeated_lines(alerts(spark, sf_dir))
     return kept.select(F.col("alert_id").alias("doc_id"), "n_lines", "n_dropped", digest(F.col("description")).alias("kept_sha256"))
+
+
+# --- 1: substring dedup ---------------------------------------------------------------------------------
+@query("op1_substring_dedup", r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 12), ' ') AS passage
+  FROM words, unnest(range(1, len(w) - 11)) AS u(pos)),
+firsts AS (SELECT passage, min(doc_id) AS first FROM starts GROUP BY passage HAVING count(DISTINCT doc_id) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos
+  FROM starts JOIN firsts USING (passage) WHERE doc_id > first),
+placed AS (SELECT doc_id, pos, list_extract(w, pos) AS word FROM words, unnest(range(1, len(w) + 1)) AS u(pos)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM placed ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)""")
+def op1(spark, sf_dir):
+    from kerbside.llm.passages import cut_repeated_passages
+    cut = cut_repeated_passages(alerts(spark, sf_dir))
+    return cut.select(F.col("alert_id").alias("doc_id"), "n_words", "n_removed", digest(F.col("description")).alias("kept_sha256"))
+
+
+# --- 2: quality classifier ------------------------------------------------------------------------------
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    from kerbside.llm.quality import alert_quality
+    named = {"doc_id": "alert_id", "text": "description", "source": "publisher", "lang": "section"}
+    scored = alert_quality(table(spark, sf_dir, "documents").withColumnsRenamed(named),
+                           table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "alert_id"))
+    return scored.withColumnRenamed("alert_id", "doc_id")
+
+
+# --- 3: benchmark decontamination -------------------------------------------------------------------------
+@query("op3_spaced_seeds", r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS v FROM benchmark),
+masks AS (SELECT unnest([[0, 1, 2, 4, 6, 7], [0, 1, 3, 6, 7, 9]]) AS m),
+doc_seeds AS (
+  SELECT doc_id, w, p, m, list_transform(m, o -> w[p + 1 + o]) AS seed FROM docs, unnest(range(0, len(w) - 7)) AS u(p), masks
+  WHERE p + m[6] + 1 <= len(w)),
+item_seeds AS (
+  SELECT item_id, v, q, m, list_transform(m, o -> v[q + 1 + o]) AS seed FROM items, unnest(range(0, len(v) - 7)) AS u(q), masks
+  WHERE q + m[6] + 1 <= len(v)),
+hits AS (SELECT doc_id, item_id, w, v, p, q, least(13, len(v)) AS width FROM doc_seeds JOIN item_seeds USING (m, seed)),
+tries AS (
+  SELECT doc_id, item_id, p, width, list_sum(list_transform(range(0, width), t -> (w[p + s + t + 1] = v[q + s + t + 1])::INT)) AS same
+  FROM hits, unnest(range(-12, 13)) AS u(s)
+  WHERE p + s >= 0 AND q + s >= 0 AND p + s + width <= len(w) AND q + s + width <= len(v) AND p + s > p - 13 AND p + s + width <= p + 13)
+SELECT doc_id, item_id, min(p)::BIGINT AS first_word, (max(p) + 8)::BIGINT AS end_word, count(DISTINCT p)::BIGINT AS n_seeds
+FROM tries WHERE same >= ceil(width * 0.8) GROUP BY doc_id, item_id""")
+def op3(spark, sf_dir):
+    from kerbside.llm.leaks import leaked_lines
+    held = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "line_id")
+    return leaked_lines(alerts(spark, sf_dir), held).withColumnsRenamed({"alert_id": "doc_id", "line_id": "item_id"})
+
+
+# --- 5: approximate nearest neighbours --------------------------------------------------------------------
+@query("op5_nearest_neighbours")
+def op5(spark, sf_dir):
+    from kerbside.llm.neighbours import similar_segments
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment_id"), F.col("embedding").alias("scores"))
+    found = similar_segments(vectors, vectors.where("segment_id % 100 = 0"))
+    return found.withColumnsRenamed({"segment_id": "vec_id", "distance": "score"})
+
+
+# --- 6: suffix-array dedup ----------------------------------------------------------------------------------
+@query("op6_suffix_array")
+def op6(spark, sf_dir):
+    from kerbside.llm.repeats import cut_repeated_bytes
+    cut = cut_repeated_bytes(alerts(spark, sf_dir))
+    return cut.select(F.col("alert_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 7: preference formatting -------------------------------------------------------------------------------
+def answered_pairs(conversations: DataFrame) -> DataFrame:
+    """Each conversation up to its last answer, against the same turns with its neighbour's last answer instead."""
+    last = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("seq"), F.max_by("text", "turn").alias("answer"))
+    own = conversations.join(last.select("conv_id", "seq"), "conv_id", "left").withColumn("end", F.coalesce("seq", "turn")).drop("seq")
+    turn = ["conv_id", F.col("turn").alias("seq"), "role", "text"]
+    other = last.select(F.expr("conv_id ^ 1").alias("conv_id"), F.col("answer").alias("text")).join(last.select("conv_id", "seq"), "conv_id")
+    rejected = own.where("turn < end").select(*turn).unionByName(other.select("conv_id", "seq", F.lit("assistant").alias("role"), "text"))
+    return (own.where("turn <= end").select(*turn, F.lit(True).alias("preferred"))
+            .unionByName(rejected.withColumn("preferred", F.lit(False))).withColumnRenamed("conv_id", "pair_id"))
+
+
+@query("op7_preference_format", """
+WITH last AS (SELECT conv_id, max(turn) AS seq, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+sides AS (
+  SELECT c.conv_id, 'chosen' AS side, turn AS seq, role, text FROM conversations c LEFT JOIN last USING (conv_id) WHERE turn <= coalesce(last.seq, turn)
+  UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c JOIN last USING (conv_id) WHERE turn < last.seq
+  UNION ALL SELECT l.conv_id, 'rejected', l.seq, 'assistant', o.answer FROM last o JOIN last l ON l.conv_id = xor(o.conv_id, 1)),
+placed AS (
+  SELECT conv_id, side, row_number() OVER (PARTITION BY conv_id, side ORDER BY seq, role, text) - 1 AS at,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
+aligned AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.at, r.at) AS at FROM
+    (SELECT * FROM placed WHERE side = 'chosen') c FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') r ON c.conv_id = r.conv_id AND c.at = r.at
+  WHERE c.at IS NULL OR r.at IS NULL OR c.role <> r.role OR c.text <> r.text),
+firsts AS (SELECT conv_id, min(at) AS first FROM aligned GROUP BY conv_id),
+shown AS (
+  SELECT p.*, coalesce(first, 2147483647) AS first, '<|turn|>' || role || chr(10)
+    || replace(replace(text, '<|turn|>', '<| turn|>'), '<|end|>', '<| end|>') || '<|end|>' || chr(10) AS shown
+  FROM placed p LEFT JOIN firsts USING (conv_id)),
+spans AS (
+  SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side, at >= first ORDER BY at) - length(shown) AS done FROM shown)
+SELECT conv_id,
+  (count(*) FILTER (WHERE side = 'chosen' AND at < first))::BIGINT AS prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY at) FILTER (WHERE side = 'chosen' AND at < first), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY at) FILTER (WHERE side = 'chosen' AND at >= first), '') AS chosen,
+  coalesce(string_agg((done + 9 + length(role))::BIGINT || ':' || (done + length(shown) - 1)::BIGINT, ',' ORDER BY at)
+    FILTER (WHERE side = 'chosen' AND at >= first AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(shown, '' ORDER BY at) FILTER (WHERE side = 'rejected' AND at >= first), '') AS rejected,
+  coalesce(string_agg((done + 9 + length(role))::BIGINT || ':' || (done + length(shown) - 1)::BIGINT, ',' ORDER BY at)
+    FILTER (WHERE side = 'rejected' AND at >= first AND role = 'assistant'), '') AS rejected_mask
+FROM spans GROUP BY conv_id""")
+def op7(spark, sf_dir):
+    from kerbside.llm.preferences import preference_pairs
+    pairs = preference_pairs(answered_pairs(table(spark, sf_dir, "conversations")))
+
+    def text(mask: str):
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["first"].cast("string"), s["end"].cast("string"))), ",").alias(mask)
+
+    return pairs.select(F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", "chosen", text("chosen_mask"), "rejected", text("rejected_mask"))
+
+
+# --- 10: personal data -------------------------------------------------------------------------------------
+@query("op10_personal_data")
+def op10(spark, sf_dir):
+    from kerbside.llm.personal import find_personal_data
+    found = find_personal_data(alerts(spark, sf_dir))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("alert_id").alias("doc_id"), *map(count, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
