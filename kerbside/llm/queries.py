@@ -109,18 +109,18 @@ def op2(spark, sf_dir):
 
 # --- 3: benchmark decontamination -------------------------------------------------------------------------
 @query("op3_spaced_seeds", r"""
-WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS v FROM benchmark),
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark),
 masks AS (SELECT unnest([[0, 1, 2, 4, 6, 7], [0, 1, 3, 6, 7, 9]]) AS m),
 doc_seeds AS (
-  SELECT doc_id, w, p, m, list_transform(m, o -> w[p + 1 + o]) AS seed FROM docs, unnest(range(0, len(w) - 7)) AS u(p), masks
+  SELECT doc_id, w, p, m, list_transform(m, lambda o: w[p + 1 + o]) AS seed FROM docs, unnest(range(0, len(w) - 7)) AS u(p), masks
   WHERE p + m[6] + 1 <= len(w)),
 item_seeds AS (
-  SELECT item_id, v, q, m, list_transform(m, o -> v[q + 1 + o]) AS seed FROM items, unnest(range(0, len(v) - 7)) AS u(q), masks
+  SELECT item_id, v, q, m, list_transform(m, lambda o: v[q + 1 + o]) AS seed FROM items, unnest(range(0, len(v) - 7)) AS u(q), masks
   WHERE q + m[6] + 1 <= len(v)),
 hits AS (SELECT doc_id, item_id, w, v, p, q, least(13, len(v)) AS width FROM doc_seeds JOIN item_seeds USING (m, seed)),
 tries AS (
-  SELECT doc_id, item_id, p, width, list_sum(list_transform(range(0, width), t -> (w[p + s + t + 1] = v[q + s + t + 1])::INT)) AS same
+  SELECT doc_id, item_id, p, width, list_sum(list_transform(range(0, width), lambda t: (w[p + s + t + 1] = v[q + s + t + 1])::INT)) AS same
   FROM hits, unnest(range(-12, 13)) AS u(s)
   WHERE p + s >= 0 AND q + s >= 0 AND p + s + width <= len(w) AND q + s + width <= len(v) AND p + s > p - 13 AND p + s + width <= p + 13)
 SELECT doc_id, item_id, min(p)::BIGINT AS first_word, (max(p) + 8)::BIGINT AS end_word, count(DISTINCT p)::BIGINT AS n_seeds
