@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -14,32 +16,75 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.common import keyed_text
 
-CACHE_WORDS = 200_000      # words whose ids a task remembers
+CACHE_WORDS = 300_000      # words that a worker remembers in each of two generations
 LANE_TEXTS = 20_000        # texts packed by one task
 
 
+# The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) of a text, word by word.
 
     The tokenizer treats every run of ASCII white space as a boundary, so a text's ids are its words' ids in
-    a row; repeated words are looked up. The memory is emptied when it is full.
+    a row, and words are remembered: the young generation becomes the old one when it is full, and what is
+    asked for again returns from there. Plain words (Latin letters, maybe sentence marks behind) are split as
+    the tokenizer's own rules would split them and go straight to its model; all others to the tokenizer. The
+    short way is taken only if it agrees on a few probes.
     """
 
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+    PROBES = ("Ozone", "street,", "\u00c9t\u00e9", "na\u00efve?!", "stra\u00dfe;", "wind...")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old, self.parts = Tokenizer.from_file(path), {}, {}
+        self.model, self.short = self.tokenizer.model, True
+        self.short = all(self._short(p) == self._whole(p) for p in self.PROBES)
+
+    def _whole(self, word: str) -> bytes:
+        return packed_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= CACHE_WORDS:
+                self.parts.clear()
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+            found = self.parts[part] = packed_ids([t.id for t in self.model.tokenize(shown)])
+        return found
+
+    def _short(self, word: str) -> bytes:
+        plain = self.PLAIN.fullmatch(word) if self.short else None
+        if not plain:
+            return self._whole(word)
+        return self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self._short(word.decode("utf-8", "replace"))
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
     def of(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        new = list({w for w in words if w not in self})
-        if new:
-            if len(self) > CACHE_WORDS:
-                self.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                self[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One memory per worker process and tokenizer, kept over its tasks."""
+    return WordIds(path)
 
 
 class OpenBins:
@@ -89,7 +134,7 @@ def token_pieces(announcements: DataFrame, tokenizer: str, route_id: str = "rout
     stop = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
