@@ -6,27 +6,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kerbside.llm.common import keyed_text
+from kerbside.llm.common import SPACES, keyed_text
 
-CACHE_WORDS = 200_000      # words whose hashes a task remembers
+SALTS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x2545F4914F6CDD1D  # of the polynomial over a word's bytes, modulo 2 ** 64; odd, so that it has an inverse
+SPACE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered up to a bound."""
+class Powers:
+    """Powers of BASE and of its inverse, as many as the longest text so far needs."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def reach(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 16, 2 * len(self.up))
+            ones = np.ones(size, np.uint64)
+            ones[1:] = BASE
+            self.up = np.multiply.accumulate(ones)
+            ones[1:] = pow(BASE, -1, 1 << 64)
+            self.down = np.multiply.accumulate(ones)
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """One hash per run of bytes other than ASCII white space, from running sums of a polynomial."""
+    if not data:
+        return np.zeros(0, np.uint64)
+    signs = np.frombuffer(data, np.uint8)
+    gap = np.ones(len(signs) + 2, bool)
+    np.take(SPACE, signs, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = POWERS.reach(len(signs) + 1)
+    sums = np.zeros(len(signs) + 1, np.uint64)
+    np.cumsum((signs.astype(np.uint64) + np.uint64(1)) * up[: len(signs)], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * down[starts]
+    out ^= out >> np.uint64(32)
+    out *= MIX
+    return out ^ (out >> np.uint64(29))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -42,12 +69,24 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def anchors(short: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` short windows, the position of the smallest hash, the first one if it repeats."""
-    if len(short) < width:
-        return np.zeros(0, np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(short, width)
-    return runs.argmin(axis=1) + np.arange(len(runs))
+def least(short: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` hashes in a row."""
+    n = len(short) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = short[:n].copy()
+    for k in range(1, width):
+        np.minimum(out, short[k: k + n], out=out)
+    return out
+
+
+def different(values: np.ndarray) -> np.ndarray:
+    """The different values; runs of equal ones go first."""
+    if not len(values):
+        return values
+    lead = np.ones(len(values), bool)
+    lead[1:] = values[1:] != values[:-1]
+    return np.unique(values[lead])
 
 
 def _ranks(column: pa.Array) -> np.ndarray:
@@ -58,11 +97,11 @@ def _ranks(column: pa.Array) -> np.ndarray:
 
 
 def _rows(batch: pa.RecordBatch, keys: list[np.ndarray], at: list[np.ndarray], smaller: bool) -> pa.RecordBatch:
-    """Pre-aggregated (route, window, key, known) rows of a batch, each window once per alert.
+    """Pre-aggregated (window, salt, key) rows of a batch, each window once per alert.
 
-    A window held by several alerts of the batch goes to the shuffle once, with the smallest alert; of the
-    others it is known already that they hold it too (``smaller``: that a smaller alert holds it), so they
-    are routed by alert. A window that very many alerts share thus has one row per batch.
+    A window held by several alerts of the batch asks the others once, with the smallest alert and salt 0; of
+    the rest it is known already that they hold it too (``smaller``: that a smaller alert holds it), so they
+    get a salt of their own. A window that very many alerts share thus has one asking row per batch.
     """
     rank = _ranks(batch.column(0))
     hashes = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -83,10 +122,8 @@ def _rows(batch: pa.RecordBatch, keys: list[np.ndarray], at: list[np.ndarray], s
         known = np.concatenate([known, np.ones(len(extra), bool)])
     use = lead | known
     hashes, row, known = hashes[use].view(np.int64), row[use], known[use]
-    spread = (rank[row].astype(np.uint64) * MIX).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.where(known, spread, hashes)), pa.array(hashes), batch.column(0).take(pa.array(row)), pa.array(known)],
-        names=["route", "window", "key", "known"])
+    salt = np.where(known, 1 + rank[row] % SALTS, 0).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(salt), batch.column(0).take(pa.array(row))], names=["window", "salt", "key"])
 
 
 def _lists(column: pa.Array) -> list[np.ndarray | None]:
@@ -126,42 +163,36 @@ def cut_repeated_passages(alerts: DataFrame, alert_id: str = "alert_id", descrip
     kind = rows.schema["key"].dataType.simpleString()
     named = rows.where("key is not null")
     texts = named.repartition("key")
-    schema = f"route long, window long, key {kind}, known boolean"
+    schema = f"window long, salt int, key {kind}"
 
     def short_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             keys, at = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                short = windows(cache.of(text.encode("utf-8", "surrogatepass").split()), half)
-                chosen = anchors(short, window - half + 1)
+                chosen = least(windows(word_hashes(text.encode("utf-8", "surrogatepass")), half), window - half + 1)
                 if len(chosen):
-                    keys.append(np.unique(short[chosen])), at.append(i)
+                    keys.append(different(chosen)), at.append(i)
             yield _rows(batch, keys, at, smaller=False)
 
     def full_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             keys, at = [], []
             for i, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), _lists(batch.column(2)))):
-                hashes = cache.of(text.encode("utf-8", "surrogatepass").split())
-                short = windows(hashes, half)
-                chosen = anchors(short, window - half + 1)
+                hashes = word_hashes(text.encode("utf-8", "surrogatepass"))
+                chosen = least(windows(hashes, half), window - half + 1)
                 if len(chosen):
-                    full = windows(hashes, window)[_within(short[chosen], wanted)]
-                    keys.append(np.unique(full)), at.append(i)
+                    keys.append(np.unique(windows(hashes, window)[_within(chosen, wanted)])), at.append(i)
             yield _rows(batch, keys, at, smaller=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             kept, n_words, n_removed, removed = [], [], [], []
             wanted = _lists(batch.column(2))
             for text, gone in zip(batch.column(1).to_pylist(), wanted):
-                words = text.encode("utf-8", "surrogatepass").split()
-                runs = []
+                data = text.encode("utf-8", "surrogatepass")
+                words, runs = data.split(), []
                 if gone is not None and len(words) >= window:
-                    starts = np.flatnonzero(_within(windows(cache.of(words), window), gone))
+                    starts = np.flatnonzero(_within(windows(word_hashes(data), window), gone))
                     cover = np.zeros(len(words) + 1, np.int32)
                     np.add.at(cover, starts, 1)
                     np.add.at(cover, starts + window, -1)
@@ -181,17 +212,16 @@ def cut_repeated_passages(alerts: DataFrame, alert_id: str = "alert_id", descrip
     def per_alert(found: DataFrame) -> DataFrame:
         return found.groupBy("key").agg(F.collect_list("window").alias("windows"))
 
-    met = named.mapInArrow(short_level, schema).repartition("route")
-    asked = met.where("not known")
-    repeated = asked.groupBy("route").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("route")
-    survive = (asked.join(repeated.hint("shuffle_hash"), "route", "left_semi").select("key", "window")
-               .unionByName(met.where("known").select("key", "window")))
-    extended = texts.join(per_alert(survive), "key").mapInArrow(full_level, schema).repartition("route")
-    asked = extended.where("not known")
-    first = (asked.groupBy("route").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-             .select("route", "first"))
-    gone = (asked.join(first.hint("shuffle_hash"), "route").where("key > first").select("key", "window")
-            .unionByName(extended.where("known").select("key", "window")))
+    asked = Window.partitionBy("window", "salt")
+
+    def held(rows_: DataFrame) -> DataFrame:
+        """With the smallest and the largest alert that ask for the same window."""
+        return rows_.withColumn("first", F.min("key").over(asked)).withColumn("last", F.max("key").over(asked))
+
+    survive = held(named.mapInArrow(short_level, schema)).where("salt > 0 or first < last")
+    # Sorted, so that a task that runs again meets the same batches and asks the same.
+    extended = texts.join(per_alert(survive), "key").sortWithinPartitions("key").mapInArrow(full_level, schema)
+    gone = held(extended).where("salt > 0 or key > first")
     marked = texts.join(per_alert(gone), "key", "left").select("key", "text", "windows")
     unnamed = rows.where("key is null").withColumn("windows", F.lit(None).cast("array<long>"))
     out = marked.unionByName(unnamed).mapInArrow(
