@@ -167,28 +167,28 @@ sides AS (
   UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c JOIN last USING (conv_id) WHERE turn < last.seq
   UNION ALL SELECT l.conv_id, 'rejected', l.seq, 'assistant', o.answer FROM last o JOIN last l ON l.conv_id = xor(o.conv_id, 1)),
 placed AS (
-  SELECT conv_id, side, row_number() OVER (PARTITION BY conv_id, side ORDER BY seq, role, text) - 1 AS at,
+  SELECT conv_id, side, row_number() OVER (PARTITION BY conv_id, side ORDER BY seq, role, text) - 1 AS place,
     coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
 aligned AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.at, r.at) AS at FROM
-    (SELECT * FROM placed WHERE side = 'chosen') c FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') r ON c.conv_id = r.conv_id AND c.at = r.at
-  WHERE c.at IS NULL OR r.at IS NULL OR c.role <> r.role OR c.text <> r.text),
-firsts AS (SELECT conv_id, min(at) AS first FROM aligned GROUP BY conv_id),
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.place, r.place) AS place FROM
+    (SELECT * FROM placed WHERE side = 'chosen') c FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') r ON c.conv_id = r.conv_id AND c.place = r.place
+  WHERE c.place IS NULL OR r.place IS NULL OR c.role <> r.role OR c.text <> r.text),
+firsts AS (SELECT conv_id, min(place) AS first FROM aligned GROUP BY conv_id),
 shown AS (
   SELECT p.*, coalesce(first, 2147483647) AS first, '<|turn|>' || role || chr(10)
     || replace(replace(text, '<|turn|>', '<| turn|>'), '<|end|>', '<| end|>') || '<|end|>' || chr(10) AS shown
   FROM placed p LEFT JOIN firsts USING (conv_id)),
 spans AS (
-  SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side, at >= first ORDER BY at) - length(shown) AS done FROM shown)
+  SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side, place >= first ORDER BY place) - length(shown) AS done FROM shown)
 SELECT conv_id,
-  (count(*) FILTER (WHERE side = 'chosen' AND at < first))::BIGINT AS prompt_turns,
-  coalesce(string_agg(shown, '' ORDER BY at) FILTER (WHERE side = 'chosen' AND at < first), '') AS prompt,
-  coalesce(string_agg(shown, '' ORDER BY at) FILTER (WHERE side = 'chosen' AND at >= first), '') AS chosen,
-  coalesce(string_agg((done + 9 + length(role))::BIGINT || ':' || (done + length(shown) - 1)::BIGINT, ',' ORDER BY at)
-    FILTER (WHERE side = 'chosen' AND at >= first AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg(shown, '' ORDER BY at) FILTER (WHERE side = 'rejected' AND at >= first), '') AS rejected,
-  coalesce(string_agg((done + 9 + length(role))::BIGINT || ':' || (done + length(shown) - 1)::BIGINT, ',' ORDER BY at)
-    FILTER (WHERE side = 'rejected' AND at >= first AND role = 'assistant'), '') AS rejected_mask
+  (count(*) FILTER (WHERE side = 'chosen' AND place < first))::BIGINT AS prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY place) FILTER (WHERE side = 'chosen' AND place < first), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY place) FILTER (WHERE side = 'chosen' AND place >= first), '') AS chosen,
+  coalesce(string_agg((done + 9 + length(role))::BIGINT || ':' || (done + length(shown) - 1)::BIGINT, ',' ORDER BY place)
+    FILTER (WHERE side = 'chosen' AND place >= first AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(shown, '' ORDER BY place) FILTER (WHERE side = 'rejected' AND place >= first), '') AS rejected,
+  coalesce(string_agg((done + 9 + length(role))::BIGINT || ':' || (done + length(shown) - 1)::BIGINT, ',' ORDER BY place)
+    FILTER (WHERE side = 'rejected' AND place >= first AND role = 'assistant'), '') AS rejected_mask
 FROM spans GROUP BY conv_id""")
 def op7(spark, sf_dir):
     from kerbside.llm.preferences import preference_pairs
