@@ -17,14 +17,40 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often the lambdas in ``use`` ask for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _seeds(rows: DataFrame, words: str, at: str, masks) -> DataFrame:
-    """A row per position and mask that fits there: ``at`` and ``seed``."""
-    shortest = min(m[-1] + 1 for m in masks)
-    placed = rows.where(F.size(words) >= shortest).withColumn(
-        at, F.explode(F.sequence(F.lit(0), F.size(words) - shortest)))
-    codes = [F.when(F.col(at) + (m[-1] + 1) <= F.size(words),
-                    F.xxhash64(F.lit(i), *[F.get(words, F.col(at) + o) for o in m])) for i, m in enumerate(masks)]
-    return placed.withColumn("seed", F.explode(F.array(*codes))).where("seed is not null")
+    """A row per position and mask that fits there: ``at`` and ``seed``; the words do not come along."""
+    shortest, k = min(m[-1] + 1 for m in masks), len(masks)
+
+    def codes(w: Column) -> Column:
+        def code(j: Column) -> Column:
+            i, out = F.floor(j / k).cast("int"), F.lit(None).cast("long")
+            for number, mask in enumerate(masks):
+                fits = (j % k == number) & (i + (mask[-1] + 1) <= F.size(w))
+                out = F.when(fits, F.xxhash64(F.lit(number), *[F.get(w, i + o) for o in mask])).otherwise(out)
+            return out
+
+        return F.when(F.size(w) >= shortest, F.transform(F.sequence(F.lit(0), (F.size(w) - shortest + 1) * k - 1), code))
+
+    keep = [c for c in rows.columns if c != words]
+    placed = rows.select(*keep, F.posexplode(bound(F.col(words), codes)).alias("place", "seed")).where("seed is not null")
+    return placed.select(*keep, F.floor(F.col("place") / k).cast("int").alias(at), "seed")
+
+
+def _agrees(hit: Column, words: Column, line: Column, window: int, similarity: float) -> Column:
+    """Whether some window around an aligned hit agrees in enough words."""
+    at, line_at, width = hit["at"], hit["line_at"], F.least(F.lit(window), F.size(line))
+    low = F.greatest(F.lit(1 - window), -at, -line_at)
+    length = F.least(F.lit(window - 1), F.size(words) - 1 - at, F.size(line) - 1 - line_at) - low + 1
+    agree = F.zip_with(F.slice(words, at + low + 1, length), F.slice(line, line_at + low + 1, length), lambda a, b: (a == b).cast("int"))
+    enough = F.ceil(width * F.lit(similarity))
+    return bound(agree, lambda g: F.when(F.size(g) >= width, F.exists(
+        F.sequence(F.lit(0), F.size(g) - width),
+        lambda i: F.aggregate(F.slice(g, i + 1, width), F.lit(0), lambda a, b: a + b) >= enough)).otherwise(F.lit(False)))
 
 
 def leaked_lines(alerts: DataFrame, lines: DataFrame, alert_id: str = "alert_id", description: str = "description",
@@ -38,29 +64,28 @@ def leaked_lines(alerts: DataFrame, lines: DataFrame, alert_id: str = "alert_id"
 
     Fixed masks hash the words at their positions; hashes of alerts meet those of the lines, and every hit is
     verified on the aligned words around it. The lines' hashes are broadcast up to BROADCAST_SEEDS, counted
-    first; beyond that both sides are shuffled by hash. The hit carries the words that its check needs, so
-    texts are read once and never shuffled. All steps are built-in expressions.
+    first; beyond that both sides are shuffled by hash. Only positions and hashes are exploded; the hits of an
+    alert and a line then meet the alert's words in one row. All steps are built-in expressions.
 
     Defined cases: null or empty texts and lines of fewer words than the shortest mask never match; repeated
     rows give one pair; a row without an id gives pairs with a null id; empty tables give an empty result;
     other columns are not read.
     """
-    docs = alerts.select(F.col(f"`{alert_id}`").alias("key"), word_hashes(F.col(f"`{description}`")).alias("words"))
+    docs = alerts.select(F.col(f"`{alert_id}`").alias("key"), F.col(f"`{description}`").cast("string").alias("text")).withColumn(
+        "version", F.xxhash64("text"))
     held = lines.select(F.col(f"`{line_id}`").alias("line"), word_hashes(F.col(f"`{text}`")).alias("line_words")).distinct()
-    targets = _seeds(held, "line_words", "line_at", masks)
+    numbered = held.withColumn("line_number", F.xxhash64("line", "line_words"))
+    targets = _seeds(numbered.select("line_number", "line_words"), "line_words", "line_at", masks)
     if targets.count() <= BROADCAST_SEEDS:
         targets = F.broadcast(targets)
-    met = _seeds(docs, "words", "at", masks).join(targets, "seed")
-    # Words around the hit, aligned: agreement at each offset that both texts have.
-    low = F.greatest(F.lit(1 - window), -F.col("at"), -F.col("line_at"))
-    high = F.least(F.lit(window - 1), F.size("words") - 1 - F.col("at"), F.size("line_words") - 1 - F.col("line_at"))
-    mine = F.slice("words", F.col("at") + low + 1, high - low + 1)
-    theirs = F.slice("line_words", F.col("line_at") + low + 1, high - low + 1)
-    hits = met.select("key", "line", "at", F.least(F.lit(window), F.size("line_words")).alias("width"),
-                      F.zip_with(mine, theirs, lambda a, b: (a == b).cast("int")).alias("agree"))
-    enough = F.exists(F.sequence(F.lit(0), F.size("agree") - F.col("width")), lambda i: F.aggregate(
-        F.slice("agree", i + 1, F.col("width")), F.lit(0), lambda a, b: a + b) >= F.ceil(F.col("width") * F.lit(similarity)))
-    found = hits.where(F.when(F.size("agree") >= F.col("width"), enough))
+    sought = _seeds(docs.select("key", "version", word_hashes(F.col("text")).alias("words")), "words", "at", masks)
+    pairs = (sought.join(targets, "seed").groupBy("key", "version", "line_number")
+             .agg(F.collect_set(F.struct("at", "line_at")).alias("hits")).join(numbered, "line_number"))
+    met = docs.alias("d").join(pairs.alias("p"), F.col("d.key").eqNullSafe(F.col("p.key")) & (F.col("d.version") == F.col("p.version"))).select(
+        "d.key", "line", "hits", "line_words", word_hashes(F.col("d.text")).alias("words"))
+    checked = bound(F.struct("words", "line_words"), lambda b: F.filter(
+        F.col("hits"), lambda h: _agrees(h, b["words"], b["line_words"], window, similarity)))
+    found = met.select("key", "line", F.explode(checked).alias("hit")).select("key", "line", F.col("hit.at").alias("at"))
     ends = F.max("at") + min(m[-1] + 1 for m in masks)
     return (found.groupBy("key", "line").agg(F.min("at").cast("long").alias("first_word"), ends.cast("long").alias("end_word"),
                                              F.count_distinct("at").alias("n_seeds"))
