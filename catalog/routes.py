@@ -361,3 +361,19 @@ def k8(t: Tables):
     edges, trips = graph(t)
     priced = edges.withColumn("cost", paths.edge_cost(F.col("length_m"), F.lit(1.25), F.lit(1.0)))
     return paths.cheapest_paths(priced, trips).select("od_id", r4("cost").alias("cost"))
+
+
+# A fraction that differs between edges leaves one cheapest path per trip.
+UNIQUE = "length_m+((src*7919+dst*104729)%10007)/10007.0"
+
+
+@register("k8_path_edges", f"""WITH RECURSIVE {GRAPH}, ug AS (SELECT src, dst, {UNIQUE} AS length_m FROM eg), walk(od_id, node, cost, path) USING KEY (od_id, node) AS (
+  SELECT od_id, origin, 0.0::double, [origin] FROM og
+  UNION SELECT od_id, dst, c, p FROM (SELECT w.od_id, e.dst, min(w.cost+e.length_m) AS c, arg_min(list_append(w.path, e.dst), w.cost+e.length_m) AS p
+    FROM walk w JOIN ug e ON e.src=w.node LEFT JOIN recurring.walk r ON r.od_id=w.od_id AND r.node=e.dst WHERE r.cost IS NULL OR w.cost+e.length_m < r.cost GROUP BY 1,2))
+SELECT og.od_id, position, path[position] AS src, path[position+1] AS dst FROM walk w JOIN og ON og.od_id=w.od_id AND og.destination=w.node, unnest(range(1, len(path))) u(position)""")
+def k8_edges(t: Tables):
+    edges, trips = graph(t)
+    priced = edges.withColumn("length_m", F.expr(UNIQUE.replace("10007.0", "10007.0D"))).withColumn("cost", F.col("length_m"))
+    steps = paths.path_edges(paths.path_labels(priced, trips), trips)
+    return steps.select("od_id", F.col("position").cast("long").alias("position"), "src", "dst")

@@ -219,3 +219,40 @@ def test_presets_merge_key_by_key(spark):
     row = profiles.expand_profiles(req).first()
     assert row.weights == {"pm25": 1.0, "ozone": 3.0, "traffic_prox": 2.0, "construction": 2.0, "cold_air": 1.5}
     assert (row.max_grade_pct, row.detour_tolerance, row.conservatism) == (20.0, 0.25, 1.0)
+
+
+def test_long_paths_are_exact_and_their_edges_come_in_order(spark):
+    chain = [(i, i + 1, 1.0, 10.0, i) for i in range(40)] + [(0, 40, 100.0, 5.0, 99), (50, 51, 1.0, 1.0, 100)]
+    edges = spark.createDataFrame(chain, "src long, dst long, cost double, length_m double, edge_id long")
+    trips = spark.createDataFrame([(1, 0, 40), (2, 0, 51), (3, 7, 7), (4, 0, 3)], "od_id long, origin long, destination long")
+    labels = paths.path_labels(edges, trips)
+    got = {r["od_id"]: (r["cost"], r["hops"], r["reached"]) for r in paths.arrivals(labels, trips).collect()}
+    assert got == {1: (40.0, 40, True), 2: (None, None, False), 3: (0.0, 0, True), 4: (3.0, 3, True)}
+    steps = sorted(tuple(r) for r in paths.path_edges(labels, trips).collect())
+    assert steps == [(1, i + 1, i, i + 1, i) for i in range(40)] + [(4, i + 1, i, i + 1, i) for i in range(3)]
+
+
+def test_profiles_of_their_own_price_their_trips(spark):
+    from kerbside.plans.compare import compare_trips, explain_trips
+    from kerbside.vocab import WAY_SCORES
+    low = {n: 10 for n in WAY_SCORES} | {"grade": 1, "industrial_within_200m": 0}
+    rows = [(1, 10, "a", "b", 100.0, low | {"pm25": 95}), (2, 20, "a", "c", 55.0, low), (3, 30, "c", "b", 54.0, low)]
+    names = list(WAY_SCORES)
+    edges = spark.createDataFrame([(*r[:5], 1.25, *[float(r[5][n]) for n in names]) for r in rows],
+                                  "edge_id long, osm_way_id long, src string, dst string, length_m double, speed_mps double, "
+                                  + ", ".join(f"{n} double" for n in names))
+    people = spark.createDataFrame([("asthma", {"pm25": 3.0}, [], 20.0, 0.1, 1.0), ("none", {}, [], 20.0, 0.1, 1.0), ("strict", {"pm25": 3.0}, [], 20.0, 0.01, 1.0)],
+                                   "profile_id string, weights map<string,double>, hard_avoids array<string>, max_grade_pct double, "
+                                   "detour_tolerance double, conservatism double")
+    trips = spark.createDataFrame([(1, "asthma", "a", "b"), (2, "none", "a", "b"), (3, "strict", "a", "b"), (4, "none", "b", "a")],
+                                  "od_id long, profile_id string, origin string, destination string")
+    chosen, walked = compare_trips(edges, people, trips)
+    got = {(r["od_id"], r["variant"]): (r["distance_m"], r["attempts"], r["detour_cap_exceeded"]) for r in chosen.collect()}
+    assert {k: v[0] for k, v in got.items() if k[0] < 3} == {(1, "fastest"): 100.0, (1, "balanced"): 109.0, (1, "cleanest"): 109.0,
+                                                           (2, "fastest"): 100.0, (2, "balanced"): 100.0, (2, "cleanest"): 100.0}
+    assert got[3, "balanced"][1] > 1 and got[3, "fastest"] == (100.0, 1, False) and not any(k[0] == 4 for k in got)
+    steps = sorted((r["od_id"], r["variant"], r["position"], r["osm_way_id"]) for r in walked.collect())
+    assert [s for s in steps if s[:2] == (1, "balanced")] == [(1, "balanced", 1, 20), (1, "balanced", 2, 30)]
+    ways = edges.select("osm_way_id", *names)
+    told = {(r["od_id"], r["variant"]): r for r in explain_trips(chosen, walked, ways).collect()}
+    assert told[1, "fastest"]["pm25"] == 95.0 and told[1, "balanced"]["pm25"] == 10.0 and told[1, "balanced"]["pm25_change"] < 0
