@@ -338,7 +338,7 @@ SELECT i.image_id, {q4('coalesce(a.no2, b.pm25)')} AS value FROM fx_image i
 def c17(t: Tables):
     meta = t.raster_meta().where("hazard <> 'ozone'").withColumn(
         "priority", F.when(F.col("hazard") == "no2", 0).otherwise(1))
-    out = raster.sample_raster(t.image().select("image_id", "x", "y"), t.cells(), meta, "image_id")
+    out = raster.sample_raster(t.image().select("image_id", "x", "y"), t.cells(), meta)
     return out.select("image_id", r4("value").alias("value"))
 
 

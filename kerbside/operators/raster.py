@@ -2,51 +2,47 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.geo import end_point, point_at, start_point
 from kerbside.functions.numbers import clamp, finite
-from kerbside.operators.skew import HOT_MIN_ROWS, lookup_join
 from kerbside.vocab import LONG_SEGMENT_FRACTIONS, LONG_SEGMENT_M, MAX_GRADE_PCT
 
 
-def sample_raster(points: DataFrame, cells: DataFrame, meta: DataFrame, point_id: str = "point_id",
-                  value: str = "value", min_rows: int = HOT_MIN_ROWS, base: DataFrame | None = None) -> DataFrame:
-    """Cell value under each point; null outside the grid or on no-data.
+def raster_values(places: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
+    """(x, y, raster, priority, value) for every valid cell of any raster under the distinct ``places`` (x, y).
 
-    ``meta`` has one row per raster in reading order (raster, priority, origin_x, origin_y, cell_x,
-    cell_y, n_rows, n_cols, nodata); rows count downwards from origin_y. Where several rasters cover a
-    point, the first one with a valid value wins. Rasters are few files, so ``meta`` is collected into
-    the plan and every raster costs one lookup join. ``base`` may give the same points before they were
-    joined to anything, from which busy cells are counted.
+    ``meta`` has one row per raster (raster, priority, origin_x, origin_y, cell_x, cell_y, n_rows, n_cols, nodata);
+    rows count downwards from origin_y. Rasters are found by the squares of a coarse grid as wide as the widest
+    of them, so that each lies in four at most, whatever their number; cells are met by (raster, row, col).
+    """
+    side = meta.agg(F.max(F.greatest(F.col("n_cols") * F.col("cell_x"), F.col("n_rows") * F.col("cell_y")))).scalar()
+    wide, high = F.col("n_cols") * F.col("cell_x"), F.col("n_rows") * F.col("cell_y")
+    square = lambda v: F.floor(v / side)
+    frames = (meta.withColumn("tx", F.explode(F.sequence(square(F.col("origin_x")), square(F.col("origin_x") + wide))))
+              .withColumn("ty", F.explode(F.sequence(square(F.col("origin_y") - high), square(F.col("origin_y")))))
+              .select("raster", "priority", "origin_x", "origin_y", "cell_x", "cell_y", "n_rows", "n_cols", "nodata", "tx", "ty"))
+    col = F.floor((F.col("x") - F.col("origin_x")) / F.col("cell_x"))
+    row = F.floor((F.col("origin_y") - F.col("y")) / F.col("cell_y"))
+    over = (places.select("x", "y", square(F.col("x")).alias("tx"), square(F.col("y")).alias("ty")).join(frames, ["tx", "ty"])
+            .withColumn("col", col).withColumn("row", row)
+            .where(F.col("col").between(0, F.col("n_cols") - 1) & F.col("row").between(0, F.col("n_rows") - 1)))
+    grid = cells.select("raster", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"),
+                        F.col("value").cast("double").alias("value")).where(finite(F.col("value")))
+    valid = F.col("nodata").isNull() | (F.col("value") != F.col("nodata"))
+    return over.join(grid, ["raster", "row", "col"]).where(valid).select("x", "y", "raster", "priority", "value")
+
+
+def sample_raster(points: DataFrame, cells: DataFrame, meta: DataFrame, value: str = "value") -> DataFrame:
+    """Cell value under each point; null outside the grids or on no-data.
+
+    Where several rasters cover a point, the first by ``priority`` with a valid value wins. Points at one place
+    are looked up once.
     """
-    rasters = meta.orderBy("priority").limit(MAX_RASTERS + 1).collect()
-    if len(rasters) > MAX_RASTERS:
-        raise ValueError(f"more than {MAX_RASTERS} rasters; merge tiles into one grid first")
-    found: list[str] = []
-    out = points
-    base = points if base is None else base
-    for i, r in enumerate(rasters):
-        col = F.floor((F.col("x") - F.lit(r["origin_x"])) / F.lit(r["cell_x"]))
-        row = F.floor((F.lit(r["origin_y"]) - F.col("y")) / F.lit(r["cell_y"]))
-        inside = col.between(0, r["n_cols"] - 1) & row.between(0, r["n_rows"] - 1)
-        keys = {"__col": F.when(inside, col), "__row": F.when(inside, row)}
-        grid = (cells.where(F.col("raster") == r["raster"])
-                .where(finite(F.col("value")) if r["nodata"] is None
-                       else finite(F.col("value")) & (F.col("value") != F.lit(r["nodata"])))
-                .select(F.col("row").cast("long").alias("__row"), F.col("col").cast("long").alias("__col"),
-                        F.col("value").cast("double").alias(f"__v{i}")))
-        out = lookup_join(out.withColumns(keys), grid, ["__row", "__col"], F.col(point_id), "left", min_rows,
-                          hot_source=base.withColumns(keys)).drop("__row", "__col")
-        found.append(f"__v{i}")
-    picked = F.coalesce(*[F.col(f) for f in found]) if found else F.lit(None).cast("double")
-    return out.withColumn(value, picked).drop(*found)
-
-
-MAX_RASTERS = 64
+    found = raster_values(points.select("x", "y").distinct(), cells, meta)
+    first = found.groupBy("x", "y").agg(F.min_by("value", "priority").alias(value))
+    return points.join(first, ["x", "y"], "left").select(*points.columns, value)
 
 
 def grade_pct(z_start: Column, z_end: Column, length_m: Column) -> tuple[Column, Column]:
@@ -57,8 +53,7 @@ def grade_pct(z_start: Column, z_end: Column, length_m: Column) -> tuple[Column,
     return F.when(known, limited), F.coalesce(F.when(known, limited != raw), F.lit(False))
 
 
-def segment_grades(segments: DataFrame, cells: DataFrame, meta: DataFrame,
-                   min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def segment_grades(segments: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
     """Segments with grade_pct replaced by the slope between their end points.
 
     Both ends are sampled in one pass and brought together by segment id.
@@ -67,7 +62,7 @@ def segment_grades(segments: DataFrame, cells: DataFrame, meta: DataFrame,
                              F.struct(F.lit("b").alias("end"), end_point(F.col("pts")).alias("p"))))
     points = (segments.select("segment_id", ends.alias("e"))
               .select("segment_id", "e.end", F.col("e.p.x").alias("x"), F.col("e.p.y").alias("y")))
-    z = (sample_raster(points, cells, meta, "segment_id", "z", min_rows).groupBy("segment_id")
+    z = (sample_raster(points, cells, meta, "z").groupBy("segment_id")
          .agg(F.max(F.when(F.col("end") == "a", F.col("z"))).alias("za"),
               F.max(F.when(F.col("end") == "b", F.col("z"))).alias("zb")))
     graded, clamped = grade_pct(F.col("za"), F.col("zb"), F.col("length_m"))
@@ -75,16 +70,20 @@ def segment_grades(segments: DataFrame, cells: DataFrame, meta: DataFrame,
             .withColumn("grade_pct", graded).withColumn("was_clamped", clamped).drop("za", "zb"))
 
 
-def pollutant_samples(segments: DataFrame, cells: DataFrame, meta: DataFrame,
-                      min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Mean pm25, no2 and ozone along each segment: the middle, or three spots on long segments."""
+def pollutant_samples(segments: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
+    """Mean pm25, no2 and ozone along each segment: the middle, or three spots on long segments.
+
+    ``meta`` names the hazard of each raster; all hazards are looked up in one pass.
+    """
     spots = (F.when(F.col("length_m") >= LONG_SEGMENT_M, F.array(*[F.lit(f) for f in LONG_SEGMENT_FRACTIONS]))
              .otherwise(F.array(F.lit(0.5))))
     points = (segments.withColumn("fraction", F.explode(spots))
               .withColumn("p", point_at(F.col("pts"), F.col("fraction")))
               .select("segment_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
     hazards = ("pm25", "no2", "ozone")
-    sampled = reduce(
-        lambda df, hazard: sample_raster(df, cells, meta.where(F.col("hazard") == hazard), "segment_id",
-                                         f"{hazard}_raw", min_rows, points), hazards, points)
-    return sampled.groupBy("segment_id").agg(*[F.avg(f"{h}_raw").alias(f"{h}_raw") for h in hazards])
+    found = raster_values(points.select("x", "y").distinct(), cells, meta).join(meta.select("raster", "hazard"), "raster")
+    # The first valid raster of each hazard; others than the hazard's have no order and no value here.
+    first = found.groupBy("x", "y").agg(*[
+        F.min_by("value", F.when(F.col("hazard") == h, F.col("priority"))).alias(f"{h}_raw") for h in hazards])
+    return (points.join(first, ["x", "y"], "left").groupBy("segment_id")
+            .agg(*[F.avg(f"{h}_raw").alias(f"{h}_raw") for h in hazards]))

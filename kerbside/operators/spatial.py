@@ -191,8 +191,7 @@ def spatially_ordered(df: DataFrame, x: str, y: str, size: float, partitions: in
 
 
 # --- clusters ------------------------------------------------------------------------------------
-def cluster_points(points: DataFrame, eps: float, point_id: str = "facility_id",
-                   max_rounds: int = 60) -> DataFrame:
+def cluster_points(points: DataFrame, eps: float, point_id: str = "facility_id") -> DataFrame:
     """Connected components of "within ``eps``" (density clustering with one point per core).
 
     Points are grouped into cells whose diagonal is ``eps``: points of one cell are connected without
@@ -243,14 +242,14 @@ def cluster_points(points: DataFrame, eps: float, point_id: str = "facility_id",
     pairs = sure.where("sure").select("node", "node_2").unionByName(tested).distinct()
     edges = pairs.unionByName(pairs.select(F.col("node_2").alias("node"), F.col("node").alias("node_2"))) \
         .checkpoint()
-    labels = connected_labels(places.select("node").distinct(), edges, max_rounds)
+    labels = connected_labels(places.select("node").distinct(), edges)
     located = in_cell(points, "x", "y", side).withColumn("node", F.concat_ws(":", "cx", "cy"))
     named = lookup_join(located, labels.select("node", F.col("label").alias("cluster_id")), ["node"],
                         F.col(point_id), "inner")
     return named.drop("node", *CELL)
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node name of each connected component; ``edges`` lists both directions.
 
     Each node points to a smaller-named node. Per round the smallest grandparent among a node's neighbours
@@ -261,7 +260,7 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
 
     ensure_checkpoint_dir(nodes.sparkSession)
     labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         # One label may cover a third of the nodes, so this lookup is the skew-safe kind.
         parents = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         pointed = lookup_join(labels, parents, ["label"], F.col("node"), "inner")
@@ -279,4 +278,3 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
         labels = moved.select("node", "label")
         if moved.where(F.col("old") != F.col("label")).isEmpty():
             return labels
-    raise RuntimeError(f"labels still moving after {max_rounds} rounds")

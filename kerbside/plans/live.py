@@ -24,7 +24,7 @@ def refresh_fields(spark: SparkSession, root: str, cells: DataFrame, permits: Da
 
 def refresh_permits(located: DataFrame, root: str) -> None:
     """Replace one source's permits, leaving other sources alone."""
-    sinks.replace_partition(located, f"{root}/construction_permit", "source")
+    sinks.replace_source(located, f"{root}/construction_permit", "nyc_dob_now")
 
 
 def replace_alerts(alerts: DataFrame, root: str) -> str:

@@ -47,8 +47,8 @@ def build_session(app: str = "kerbside", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The reliable folder every executor can reach.
 
-    On a cluster it is named by ``spark.checkpoint.dir``. Only where that is unset (local tests)
-    is a temporary folder chosen, and remembered so that one session keeps using the same one.
+    On a cluster it is named by ``spark.checkpoint.dir``. Only where that is unset and everything runs in
+    one local process (tests) is a temporary folder chosen, and remembered so that one session keeps using it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -56,6 +56,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kerbside-"))
     return spark.sparkContext.getCheckpointDir()
 

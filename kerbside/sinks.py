@@ -41,8 +41,17 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     return None if name is None else f"{path}/{name}"
 
 
-def _publish(spark: SparkSession, path: str, content: str) -> None:
-    """Replace the pointer file in one rename."""
+class ConflictingWrite(RuntimeError):
+    """Another writer has published a version since the one this write builds on."""
+
+
+ANY = object()
+
+
+def _publish(spark: SparkSession, path: str, content: str, built_on: object = ANY) -> None:
+    """Replace the pointer file in one rename; refuse if it no longer reads ``built_on``."""
+    if built_on is not ANY and _read_pointer(spark, path) != built_on:
+        raise ConflictingWrite(f"{path} has changed since it was read")
     fs, pointer = _fs(spark, f"{path}/_current")
     _, staged = _fs(spark, f"{path}/_next-{uuid.uuid4().hex}")
     out = fs.create(staged, True)
@@ -63,13 +72,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(version)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), allow_empty: bool = True) -> str:
-    """Write a full new version and make it the live one; the old version survives a failure."""
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), allow_empty: bool = True, built_on: object = ANY) -> str:
+    """Write a full new version and make it the live one; the old version survives a failure.
+
+    A writer that read the table first passes the version it read as ``built_on`` and must start again if
+    another one came in between.
+    """
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
     if not allow_empty and spark.read.schema(df.schema).parquet(f"{path}/{version}").isEmpty():
         raise ValueError(f"refusing to replace {path} by an empty table")
-    _publish(spark, path, version)
+    _publish(spark, path, version, built_on)
     return f"{path}/{version}"
 
 
@@ -101,9 +114,10 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], order: Column | None =
     """Insert or overwrite by key; of several incoming rows per key the last one counts."""
     incoming = last_per_key(df, keys, order)
     spark = df.sparkSession
-    if current_version(spark, path) is None:
-        return replace_table(incoming, path, partition_by)
-    return replace_table(merged(read_table(spark, path), incoming, keys), path, partition_by)
+    before = _read_pointer(spark, path)
+    if before is None:
+        return replace_table(incoming, path, partition_by, built_on=None)
+    return replace_table(merged(spark.read.parquet(f"{path}/{before}"), incoming, keys), path, partition_by, built_on=before)
 
 
 def _manifest(spark: SparkSession, path: str) -> dict[str, str]:
@@ -133,9 +147,10 @@ def upsert_partitions(df: DataFrame, path: str, keys: Sequence[str], partition:
             kept = spark.read.schema(df.schema).parquet(*old).join(incoming.select(*keys), list(keys), "left_anti")
             rows = kept.select(*df.columns).withColumn("__part", F.col(partition).cast("string")).unionByName(incoming)
         version = f"v-{uuid.uuid4().hex}"
-        # One file set per partition: rows of a partition meet in the shuffle, split further when large.
-        rows.repartition("__part", F.pmod(F.xxhash64(*keys), F.lit(4))).write.partitionBy("__part").parquet(f"{path}/{version}")
-        _publish(spark, path, json.dumps({**manifest, **{p: f"{version}/__part={p}" for p in touched}}))
+        # One file set per partition: rows of a partition meet in the shuffle, which splits it by its measured size.
+        rows.hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{path}/{version}")
+        _publish(spark, path, json.dumps({**manifest, **{p: f"{version}/__part={p}" for p in touched}}),
+                 json.dumps(manifest) if manifest else None)
     finally:
         incoming.unpersist()
 
@@ -170,6 +185,21 @@ def replace_partition(df: DataFrame, path: str, column: str = "source") -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))
 
 
+def replace_source(df: DataFrame, path: str, source: str, column: str = "source") -> None:
+    """Replace all rows of one source, also by none at all; other sources stay.
+
+    The rows go to a folder of their own and the pointer file, which names the live folder of every source, is
+    replaced at once: readers (``read_partitions``) see the old rows or the new ones.
+    """
+    spark = df.sparkSession
+    before = _read_pointer(spark, path)
+    manifest, version = json.loads(before) if before else {}, f"v-{uuid.uuid4().hex}"
+    foreign = F.when(F.col(column).eqNullSafe(F.lit(source)), F.col(column)).otherwise(
+        F.raise_error(F.lit(f"a row is not of the source {source}")))
+    df.withColumn(column, foreign.cast(df.schema[column].dataType)).write.parquet(f"{path}/{version}")
+    _publish(spark, path, json.dumps({**manifest, source: version}), before)
+
+
 def write_snapshot(bands: DataFrame, path: str) -> None:
     """Replace the (hazard, observed_at) snapshots contained in ``bands``; other snapshots stay."""
     stamped = bands.withColumn("snapshot_us", F.unix_micros("observed_at")).withColumn("hazard_key", F.col("hazard"))

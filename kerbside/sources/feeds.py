@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.functions.geo import in_bbox
 from kerbside.functions.numbers import finite
@@ -268,12 +269,37 @@ def read_pollen(spark: SparkSession, path: str) -> DataFrame:
     return parse_pollen(text_rows(spark, path))
 
 
+def records(rows: DataFrame, fields: str) -> DataFrame:
+    """JSON records of a feed as columns, with ``row_order``: one object a row, an array of them, or a page with ``data``."""
+    page = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
+    kind = T.ArrayType(T.StructType.fromDDL(fields))
+    found = _with_order(rows).select("row_order", F.posexplode(F.from_json(page, kind)).alias("pos", "r"))
+    return found.where("r is not null").select("r.*", F.struct("row_order", "pos").alias("row_order"))
+
+
+def rejects(rows: DataFrame, fields: str) -> DataFrame:
+    """Rows of a feed that hold no record at all, with the reason; what parsers leave out for its values is not here."""
+    page = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
+    read = F.from_json(page, T.ArrayType(T.StructType.fromDDL(fields)))
+    names = [f.name for f in T.StructType.fromDDL(fields)]
+    bare = F.forall(read, lambda r: r.isNull() | ~F.coalesce(*[F.when(r[n].isNotNull(), F.lit(True)) for n in names], F.lit(False)))
+    reason = (F.when(F.trim(F.coalesce("value", F.lit(""))) == "", "empty").when(read.isNull(), "not JSON records")
+              .when((F.size(read) > 0) & bare, "none of the fields"))
+    return rows.select("value", reason.alias("reason")).where("reason is not null")
+
+
+PERMIT_FIELDS = ("work_permit string, bin string, work_type string, permit_status string, issued_date string, "
+                 "expired_date string")
+TREE_FIELDS = ("tree_id string, spc_latin string, spc_common string, status string, tree_dbh string, "
+               "latitude string, longitude string")
+IMAGE_FIELDS = ("id string, geometry struct<type:string,coordinates:array<double>>, compass_angle double, "
+                "captured_at string, thumb_1024_url string")
+
+
 # --- permits, trees, images --------------------------------------------------------------------------------
 def parse_permits(rows: DataFrame, as_of: Column) -> DataFrame:
     """Issued permits not expired on the day, with severity."""
-    schema = ("work_permit string, bin string, work_type string, permit_status string, issued_date string, "
-              "expired_date string")
-    p = rows.select(F.from_json("value", schema).alias("p")).select("p.*")
+    p = records(rows, PERMIT_FIELDS)
     filled = F.lit(True)
     for name in ("work_permit", "bin", "work_type", "expired_date"):
         filled = filled & (F.coalesce(F.col(name), F.lit("")) != "")
@@ -298,9 +324,7 @@ def parse_centroids(rows: DataFrame) -> DataFrame:
 
 def parse_trees(rows: DataFrame) -> DataFrame:
     """Living trees inside the city's box."""
-    schema = ("tree_id string, spc_latin string, spc_common string, status string, tree_dbh string, "
-              "latitude string, longitude string")
-    t = rows.select(F.from_json("value", schema).alias("t")).select("t.*").where(F.col("status") == "Alive")
+    t = records(rows, TREE_FIELDS).where(F.col("status") == "Alive")
     latin = blank_to_null(F.col("spc_latin"))
     return t.select(
         F.col("tree_id").try_cast("long").alias("tree_id"), latin.alias("species_latin"),
@@ -312,9 +336,7 @@ def parse_trees(rows: DataFrame) -> DataFrame:
 
 def parse_images(rows: DataFrame) -> DataFrame:
     """Street images that are complete and in range; the last one per id."""
-    schema = ("id string, geometry struct<type:string,coordinates:array<double>>, compass_angle double, "
-              "captured_at string, thumb_1024_url string")
-    i = _with_order(rows).select("row_order", F.from_json("value", schema).alias("i")).select("row_order", "i.*")
+    i = records(rows, IMAGE_FIELDS)
     number = F.trim("captured_at").try_cast("double")
     captured = F.when(number.isNotNull(), parse_epoch(number)).otherwise(parse_instant(F.trim("captured_at")))
     lon, lat = F.get("geometry.coordinates", F.lit(0)), F.get("geometry.coordinates", F.lit(1))

@@ -256,3 +256,14 @@ def test_profiles_of_their_own_price_their_trips(spark):
     ways = edges.select("osm_way_id", *names)
     told = {(r["od_id"], r["variant"]): r for r in explain_trips(chosen, walked, ways).collect()}
     assert told[1, "fastest"]["pm25"] == 95.0 and told[1, "balanced"]["pm25"] == 10.0 and told[1, "balanced"]["pm25_change"] < 0
+
+
+def test_any_number_of_rasters_and_the_first_valid_value_wins(spark):
+    from kerbside.operators import raster
+    meta = spark.createDataFrame([(f"r{i}", i, 0.0, 10.0, 5.0, 5.0, 2, 2, -9999.0) for i in range(100)] + [("far", 0, 500.0, 510.0, 5.0, 5.0, 2, 2, None)],
+                                 "raster string, priority int, origin_x double, origin_y double, cell_x double, cell_y double, n_rows int, n_cols int, nodata double")
+    cells = spark.createDataFrame([(f"r{i}", 0, 0, -9999.0 if i < 70 else float(i)) for i in range(100)] + [("r3", 1, 1, 7.0), ("far", 1, 0, float("nan"))],
+                                  "raster string, row int, col int, value double")
+    points = spark.createDataFrame([(1, 2.0, 8.0), (2, 7.0, 2.0), (3, 2.0, 2.0), (4, 501.0, 501.0), (5, -1.0, 8.0), (6, 2.0, 8.0)], "id int, x double, y double")
+    got = {r.id: r.v for r in raster.sample_raster(points, cells, meta, "v").collect()}
+    assert got == {1: 70.0, 2: 7.0, 3: None, 4: None, 5: None, 6: 70.0}

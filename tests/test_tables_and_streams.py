@@ -108,3 +108,43 @@ def test_boundary_needs_exactly_five_features(spark):
     one = '{"features":[{"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}]}'
     with pytest.raises(Exception, match="exactly 5"):
         feeds.borough_boundary(spark.createDataFrame([(one,)], "value string")).collect()
+
+
+def test_a_source_can_be_replaced_by_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "permits"), "permit_id string, source string"
+    for source in ("a", "b"):
+        sinks.replace_source(spark.createDataFrame([(f"{source}1", source), (f"{source}2", source)], schema), path, source)
+    sinks.replace_source(spark.createDataFrame([], schema), path, "a")
+    assert sorted(r.permit_id for r in sinks.read_partitions(spark, path).collect()) == ["b1", "b2"]
+    with pytest.raises(Exception, match="not of the source"):
+        sinks.replace_source(spark.createDataFrame([("x", "b")], schema), path, "c")
+    assert sorted(r.permit_id for r in sinks.read_partitions(spark, path).collect()) == ["b1", "b2"]
+
+
+def test_two_families_merged_at_once_are_both_kept(spark, tmp_path, monkeypatch):
+    from kerbside.plans import static
+    root = str(tmp_path)
+    traffic = spark.createDataFrame([(1, 10.0), (2, 20.0)], "segment_id long, traffic_prox double")
+    trees = spark.createDataFrame([(1, 30.0, 40.0), (3, 50.0, 60.0)], "segment_id long, shade_benefit double, pollen_source double")
+    whole, calls = sinks.merge_family, []
+
+    def interrupted(*args, **more):
+        calls.append(1)
+        if len(calls) == 1:
+            static.refresh_family(trees, root, "trees")
+        return whole(*args, **more)
+
+    monkeypatch.setattr(sinks, "merge_family", interrupted)
+    static.refresh_family(traffic, root, "traffic")
+    got = {r.segment_id: (r.traffic_prox, r.shade_benefit) for r in sinks.read_table(spark, f"{root}/segment_static_score").collect()}
+    assert got == {1: (10.0, 30.0), 2: (20.0, None), 3: (None, 50.0)}
+
+
+def test_feeds_come_as_objects_arrays_or_pages_and_rejects_are_told(spark):
+    from kerbside.sources import feeds
+    tree = '{"tree_id":"%d","spc_latin":"Acer rubrum","status":"Alive","tree_dbh":"3","latitude":"40.7","longitude":"-74.0"}'
+    texts = [tree % 1, "[" + tree % 2 + "," + tree % 3 + "]", '{"data":[' + tree % 4 + "]}", "not json", "", '{"other":1}', "[]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert sorted(r.tree_id for r in feeds.parse_trees(rows).collect()) == [1, 2, 3, 4]
+    told = {r.value: r.reason for r in feeds.rejects(rows, feeds.TREE_FIELDS).collect()}
+    assert told == {"not json": "not JSON records", "": "empty", '{"other":1}': "none of the fields"}
