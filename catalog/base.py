@@ -95,10 +95,10 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN event_id%4=0 THEN 'airnow' ELSE 'openaq' END AS source, value,
           CASE WHEN event_type='view' THEN 'ug/m3' ELSE 'ppb' END AS unit FROM events"""),
     "fx_permit": ((), """
-        SELECT o_orderkey AS permit_id, 5-cast(substring(o_orderpriority,1,1) as int) AS severity,
+        SELECT o_orderkey AS permit_id, greatest(5-cast(substring(o_orderpriority,1,1) as int), 1) AS severity,
           cast(o_orderdate as date) AS issued_at, cast(o_orderdate as date)+90 AS expires_at,
           cast((o_orderkey*6007)%20000 as double) AS x, cast((o_orderkey*9001)%20000 as double) AS y
-        FROM orders WHERE o_orderpriority <> '5-LOW'"""),
+        FROM orders"""),
     "fx_image": ((), """
         SELECT doc_id AS image_id, cast((doc_id*3571)%20000 as double) AS x,
           cast((doc_id*2221)%20000 as double) AS y, cast((doc_id*37)%360 as double) AS compass_angle,
@@ -239,8 +239,8 @@ class Tables:
             "CASE WHEN event_type='view' THEN 'ug/m3' ELSE 'ppb' END AS unit")
 
     def permit(self) -> DataFrame:
-        return self.raw("orders").where("o_orderpriority <> '5-LOW'").selectExpr(
-            "o_orderkey AS permit_id", "5-cast(substring(o_orderpriority,1,1) as int) AS severity",
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS permit_id", "greatest(5-cast(substring(o_orderpriority,1,1) as int), 1) AS severity",
             "to_date(o_orderdate) AS issued_at", "date_add(to_date(o_orderdate), 90) AS expires_at",
             "cast((o_orderkey*6007)%20000 as double) AS x", "cast((o_orderkey*9001)%20000 as double) AS y")
 

@@ -88,14 +88,6 @@ def i5(t: Tables):
     return out.where("event IN ('frame', 'complete')").groupBy("analysis_id", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("i6_stream_over_limit")
-def i6(t: Tables):
-    requests = events(t).selectExpr(
-        "event_id AS request_id", "CASE event_type WHEN 'view' THEN '/api/v1/routes' WHEN 'click' THEN '/api/v1/routes/1/analysis' WHEN 'signup' THEN '/api/v1/auth/register' ELSE '/health' END AS path",
-        "cast(null as string) AS user_id", "concat('10.0.0.', user_id%4) AS address", "cast(ts as timestamp) AS requested_at")
-    return drained(t, jobs.stream_over_limit(requests, {"routing": (1, 3600), "analysis": (2, 7200), "registration": (1, 7200)}), "limits")
-
-
 @register("i7_stream_metrics", """WITH w AS (SELECT date_trunc('day', ts) AS d, * FROM events), m AS (SELECT max(ts) - INTERVAL 5 MINUTE AS wm FROM events)
 SELECT epoch_us(d) AS start_us, count(*) FILTER (WHERE event_type='view') AS speech_requests, cast(sum(CASE WHEN event_type='click' THEN user_id%20 ELSE 0 END) as bigint) AS images_scored,
   count(*) FILTER (WHERE event_type='error') AS analyses_requested FROM w, m WHERE d + INTERVAL 1 DAY <= wm GROUP BY 1""")
