@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 HOT_SHARE = 1000          # a hot key holds >= 1/HOT_SHARE of the rows, so there are <= HOT_SHARE
 HOT_MIN_ROWS = 50_000     # below this a key is never worth special treatment
+MIN_ROWS_CONF = "kerbside.hotKeyMinRows"   # a session's own bound; 1 takes the salted plans on small inputs too
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame | None:
@@ -30,7 +31,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS) -
     top = counts.orderBy(F.desc("hot_rows")).limit(HOT_SHARE).collect()
     if not top:
         return None
-    share = max((watch.get["total"] or 0) / HOT_SHARE, float(max(min_rows, 1)))
+    least = min(min_rows, int(df.sparkSession.conf.get(MIN_ROWS_CONF, str(min_rows))))
+    share = max((watch.get["total"] or 0) / HOT_SHARE, float(max(least, 1)))
     rows = [(*[r[k] for k in keys], int(-(-r["hot_rows"] // share))) for r in top if r["hot_rows"] >= share]
     if not rows:
         return None
