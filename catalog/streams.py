@@ -71,6 +71,22 @@ def i3(t: Tables):
     return t.spark.read.parquet(f"{base}/out").select("hazard", F.col("severity").cast("long").alias("severity"), r4("band_min").alias("band_min"), r4("band_max").alias("band_max"))
 
 
+@register("i3_batch_over_streamed", LATEST + f""", grid AS (SELECT 'pm25' AS hazard, pm25 AS value FROM fx_cell UNION ALL SELECT 'no2', no2 FROM fx_cell WHERE no2<>-9999 UNION ALL SELECT 'ozone', ozone FROM fx_cell),
+stat AS (SELECT hazard, avg(value) AS m, quantile_cont(value,0.25) AS q1, quantile_cont(value,0.5) AS q2, quantile_cont(value,0.75) AS q3 FROM grid GROUP BY hazard),
+scaled AS (SELECT g.hazard, g.value*greatest(least(v/m,10),0.1) AS s, q1, q2, q3 FROM grid g JOIN stat USING (hazard) JOIN mean USING (hazard))
+SELECT hazard, cast(1+(q1<=s)::int+(q2<=s)::int+(q3<=s)::int as bigint) AS severity, {q4('min(s)')} AS band_min, {q4('max(s)')} AS band_max
+FROM scaled JOIN mean USING (hazard) WHERE mean.seen_at >= (SELECT max(observed_at) FROM fx_reading) - INTERVAL 2 HOUR GROUP BY 1, 2""", ("fx_reading", "fx_cell"))
+def i3_batch(t: Tables):
+    """The scheduled batch job over a table that a stream filled."""
+    from kerbside.plans import live as plan
+
+    base = scratch_path(t.spark, "batch")
+    finish(jobs.stream_readings(reading_stream(t), f"{base}/citywide_reading", f"{base}/chk", ONCE))
+    now = sinks.read_partitions(t.spark, f"{base}/citywide_reading").select(F.max("observed_at")).scalar()
+    out = plan.refresh_fields(t.spark, base, t.cells().where("value <> -9999"), t.permit(), now)
+    return out.select("hazard", F.col("severity").cast("long").alias("severity"), r4("band_min").alias("band_min"), r4("band_max").alias("band_max"))
+
+
 @register("i4_stream_conditions", """WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hazard, station_id ORDER BY observed_at DESC) AS rn FROM fx_reading WHERE observed_at >= (SELECT max(observed_at) FROM fx_reading) - INTERVAL 24 HOUR) WHERE rn=1)
 SELECT hazard, """ + q4("avg(value)") + " AS mean_value, count(*) AS station_count FROM latest GROUP BY 1", ("fx_reading",))
 def i4(t: Tables):

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from kerbside import sinks
 from kerbside.operators import live
+from kerbside.streaming.jobs import store_readings
 
 
 def ingest(root: str, *feeds: DataFrame) -> str:
-    """Store all feeds' readings; on equal keys later feeds win."""
-    return sinks.upsert(sinks.union_readings(*feeds), f"{root}/citywide_reading", ["hazard", "station_id", "observed_at"])
+    """Store all feeds' readings by day, as the streams do; on equal keys later feeds win."""
+    path = f"{root}/citywide_reading"
+    store_readings(sinks.union_readings(*feeds), path)
+    return path
 
 
 def refresh_fields(spark: SparkSession, root: str, cells: DataFrame, permits: DataFrame, as_of: Column) -> DataFrame:
-    """Rebuild hazard fields from the stored readings and return the current ones."""
-    readings = sinks.read_table(spark, f"{root}/citywide_reading")
+    """Rebuild hazard fields from the stored readings, streamed or not, and return the current ones."""
+    readings = sinks.read_partitions(spark, f"{root}/citywide_reading")
     raster = live.hazard_bands(cells, live.citywide_means(readings, as_of))
     bands = live.budget_fields(live.union_bands(raster, live.construction_bands(permits, as_of)))
     sinks.write_snapshot(bands, f"{root}/hazard_field")

@@ -8,6 +8,7 @@ table readable and readers never see a half-written one.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -155,12 +156,33 @@ def upsert_partitions(df: DataFrame, path: str, keys: Sequence[str], partition:
         incoming.unpersist()
 
 
-def read_partitions(spark: SparkSession, path: str) -> DataFrame:
-    """All live partitions of a table written by ``upsert_partitions``."""
+def partitions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the live partitions, in order; no folder is opened for this."""
+    return sorted(_manifest(spark, path))
+
+
+def read_partitions(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Live partitions of a table written by ``upsert_partitions``, from ``first`` to ``last`` where given."""
     manifest = _manifest(spark, path)
     if not manifest:
         raise FileNotFoundError(f"no partition of {path} has been published")
-    return spark.read.parquet(*[f"{path}/{folder}" for _, folder in sorted(manifest.items())])
+    wanted = [folder for p, folder in sorted(manifest.items()) if (first is None or p >= first) and (last is None or p <= last)]
+    if not wanted:
+        return spark.read.parquet(f"{path}/{next(iter(manifest.values()))}").limit(0)
+    return spark.read.parquet(*[f"{path}/{folder}" for folder in wanted])
+
+
+def expire_versions(spark: SparkSession, path: str, older_than_hours: float) -> list[str]:
+    """Delete versions of a table that are not live and were written longer ago than any reader may still run."""
+    fs, folder = _fs(spark, path)
+    text = _read_pointer(spark, path) or ""
+    live = {f.split("/")[0] for f in (json.loads(text).values() if text.startswith("{") else [text])}
+    limit = (time.time() - older_than_hours * 3600) * 1000
+    gone = [s.getPath() for s in fs.listStatus(folder)
+            if s.getPath().getName().startswith("v-") and s.getPath().getName() not in live and s.getModificationTime() < limit]
+    for old in gone:
+        fs.delete(old, True)
+    return sorted(old.getName() for old in gone)
 
 
 def merge_family(scores: DataFrame | None, update: DataFrame, columns: Sequence[str], key: str = "segment_id",

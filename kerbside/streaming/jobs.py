@@ -7,6 +7,7 @@ one definition. Jobs that need per-key memory use ``transformWithStateInPandas``
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from typing import Any
 
 import pandas as pd
@@ -18,8 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from kerbside import sinks
 from kerbside.operators import live
 from kerbside.operators.usage import limited_requests
-from kerbside.vocab import RATE_LIMITS
+from kerbside.vocab import RATE_LIMITS, READING_LOOKBACK_HOURS
 
+CLOCK_SKEW = timedelta(minutes=15)     # how far ahead of the present a station's clock may be
 READING_KEYS = ("hazard", "station_id", "observed_at")
 
 
@@ -45,10 +47,25 @@ def stream_readings(readings: DataFrame, path: str, checkpoint: str, trigger: di
     return _start(readings, merge, checkpoint, trigger or {"processingTime": "1 minute"})
 
 
-def recent_readings(spark, path: str) -> tuple[DataFrame, Any]:
-    """The stored readings and the newest observation time, which serves as the present."""
-    stored = sinks.read_partitions(spark, path)
-    return stored, stored.agg(F.max("observed_at")).first()[0]
+def recent_readings(spark, path: str, as_of: datetime | None = None) -> tuple[DataFrame, datetime | None]:
+    """The readings of the last 24 hours and the present: the newest observation time.
+
+    Only the days concerned are opened. With ``as_of``, readings dated more than CLOCK_SKEW after it are left out,
+    so that one station with a wrong clock does not push the present ahead of all others.
+    """
+    latest = None if as_of is None else as_of + CLOCK_SKEW
+    believed = F.lit(True) if latest is None else F.col("observed_at") <= F.lit(latest)
+    days = [d for d in sinks.partitions(spark, path) if latest is None or d <= (latest + timedelta(hours=24)).date().isoformat()]
+    now = None
+    while days and now is None:     # the newest day that holds a believed reading, as a rule the last one
+        day = days.pop()
+        now = sinks.read_partitions(spark, path, day, day).where(believed).agg(F.max("observed_at")).first()[0]
+    if now is None:
+        return sinks.read_partitions(spark, path).limit(0), None
+    # Days are those of the session's zone and ``now`` that of this process: a day more on both sides is enough.
+    first, last = (now - timedelta(hours=READING_LOOKBACK_HOURS + 24)).date(), (now + timedelta(hours=24)).date()
+    stored = sinks.read_partitions(spark, path, first.isoformat(), last.isoformat())
+    return stored.where(F.col("observed_at") <= F.lit(now)), now
 
 
 def stream_citywide_means(readings: DataFrame, path: str, out: str, checkpoint: str,

@@ -148,3 +148,19 @@ def test_feeds_come_as_objects_arrays_or_pages_and_rejects_are_told(spark):
     assert sorted(r.tree_id for r in feeds.parse_trees(rows).collect()) == [1, 2, 3, 4]
     told = {r.value: r.reason for r in feeds.rejects(rows, feeds.TREE_FIELDS).collect()}
     assert told == {"not json": "not JSON records", "": "empty", '{"other":1}': "none of the fields"}
+
+
+def test_recent_readings_open_the_days_concerned_and_distrust_the_future(spark, tmp_path):
+    from datetime import datetime
+    path, schema = str(tmp_path / "readings"), "hazard string, station_id string, observed_at timestamp, source string, value double, unit string"
+    times = ["2024-01-01 10:00:00", "2024-01-05 10:00:00", "2024-01-06 09:00:00", "2024-01-06 12:00:00", "2030-01-01 00:00:00"]
+    rows = [("pm25", f"s{i}", datetime.fromisoformat(t), "openaq", float(i), "u") for i, t in enumerate(times)]
+    jobs.store_readings(spark.createDataFrame(rows, schema), path)
+    stored, now = jobs.recent_readings(spark, path, datetime(2024, 1, 6, 12, 5))
+    assert now == datetime(2024, 1, 6, 12, 0) and {r.station_id for r in stored.collect()} == {"s1", "s2", "s3"}
+    assert not any("2024-01-01" in f or "2030" in f for f in stored.inputFiles())
+    _, ahead = jobs.recent_readings(spark, path)
+    assert ahead == datetime(2030, 1, 1)
+    assert sinks.expire_versions(spark, path, 1.0) == []
+    jobs.store_readings(spark.createDataFrame(rows, schema), path)
+    assert len(sinks.expire_versions(spark, path, -1.0)) == 1 and sinks.read_partitions(spark, path).count() == 5
