@@ -121,6 +121,38 @@ def k5_areas(t: Tables):
     return touched(t).select("edge_id", "hazard", F.col("severity").cast("long").alias("severity"))
 
 
+SNAPSHOT = f"""latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hazard, station_id ORDER BY observed_at DESC) AS rn
+  FROM fx_reading WHERE source<>'airnow' AND observed_at >= (SELECT max(observed_at) FROM fx_reading) - INTERVAL 24 HOUR) WHERE rn=1),
+mean AS (SELECT hazard, avg(value) AS v, max(observed_at) AS seen_at FROM latest GROUP BY 1),
+gc AS (SELECT 'pm25' AS hazard, col, row, pm25 AS value FROM fx_cell UNION ALL SELECT 'no2', col, row, no2 FROM fx_cell WHERE no2<>-9999 UNION ALL SELECT 'ozone', col, row, ozone FROM fx_cell),
+stat AS (SELECT hazard, avg(value) AS m, quantile_cont(value,0.25) AS q1, quantile_cont(value,0.5) AS q2, quantile_cont(value,0.75) AS q3 FROM gc GROUP BY hazard),
+scaled AS (SELECT g.hazard, col, row, g.value*greatest(least(v/m,10),0.1) AS s, q1, q2, q3 FROM gc g JOIN stat USING (hazard) JOIN mean USING (hazard)
+  WHERE mean.seen_at >= (SELECT max(observed_at) FROM fx_reading) - INTERVAL 2 HOUR),
+sites AS (SELECT DISTINCT severity, x, y FROM fx_permit WHERE expires_at + INTERVAL 26 YEAR >= (SELECT cast(max(observed_at) AS date) FROM fx_reading)),
+ac AS (SELECT hazard, cast(1+(q1<=s)::int+(q2<=s)::int+(q3<=s)::int as bigint) AS severity, col AS cx, row AS cy FROM scaled
+  UNION SELECT 'construction', severity, cx, cy FROM sites, generate_series(cast(floor((x-40)/400) as bigint), cast(floor((x+40)/400) as bigint)) a(cx),
+    generate_series(cast(floor((y-40)/400) as bigint), cast(floor((y+40)/400) as bigint)) b(cy)
+  WHERE power(greatest(cx*400-x, x-(cx+1)*400, 0),2)+power(greatest(cy*400-y, y-(cy+1)*400, 0),2) <= 1600)"""
+
+
+@register("k5_from_snapshot", f"""WITH {SNAPSHOT} SELECT DISTINCT segment_id AS edge_id, hazard, severity FROM fx_segment,
+  generate_series(cast(floor(x/400) as bigint), cast(floor((x+length_m)/400) as bigint)) g(c), ac WHERE ac.cx=c AND ac.cy=cast(floor(y/400) as bigint)""",
+          ("fx_segment", "fx_reading", "fx_cell", "fx_permit"))
+def k5_snapshot(t: Tables):
+    """Readings stored, areas built and stored with their cells, streets met from the stored snapshot."""
+    from kerbside.plans import live as plan
+    from kerbside.session import scratch_path
+
+    root = scratch_path(t.spark, "fields")
+    plan.ingest(root, t.reading().withColumn("unit", F.lit("")))
+    now = t.reading().select(F.max("observed_at")).scalar()
+    cells = t.cells().where("value <> -9999").withColumns({"cx": F.col("col"), "cy": F.col("row")})
+    permits = t.permit().withColumn("expires_at", F.add_months("expires_at", 312))
+    plan.refresh_fields(t.spark, root, cells, permits, now, 400.0)
+    legs = legs_of(t.segment().select(F.col("segment_id").alias("edge_id"), "pts"))
+    return plan.streets_in_fields(t.spark, root, legs, now, 400.0).select("edge_id", "hazard", F.col("severity").cast("long").alias("severity"))
+
+
 @register("k5_live_priority", f"""WITH {TOUCHED}, m AS (SELECT e.edge_id, CASE WHEN n=3 AND bool_or(t.hazard='construction') THEN 0.0 ELSE
   coalesce(product(CASE WHEN t.hazard IS NULL THEN 1.0 WHEN (CASE t.hazard WHEN 'pm25' THEN w_pm25 ELSE w_construction END)>0 THEN floor(greatest(0.1, 1-t.severity*0.1875*least(greatest((CASE t.hazard WHEN 'pm25' THEN w_pm25 ELSE w_construction END)*conservatism/3,0),1))*10000+0.5)/10000 ELSE 1.0 END),1.0) END AS live_priority
   FROM ed e JOIN prof USING (profile_id) LEFT JOIN wide USING (profile_id) LEFT JOIN touched t USING (edge_id) GROUP BY e.edge_id, n)

@@ -181,6 +181,19 @@ def circle_cells(circles: DataFrame, size: float) -> DataFrame:
             .select("severity", "cx", "cy").distinct())
 
 
+def field_cells(cells: DataFrame, means: DataFrame, permits: DataFrame, bands: DataFrame, as_of: Column, size: float) -> DataFrame:
+    """The grid cells (hazard, severity, observed_at, cx, cy) that make up the areas of ``bands``.
+
+    ``cells`` carries the routing grid's cx and cy of each raster cell; construction areas are the cells of ``size``
+    that their circles touch. ``bands`` are the budgeted ones, at most MAX_HAZARD_FIELDS rows, and are broadcast.
+    """
+    raster = band_cells(cells, means).select("hazard", "severity", "observed_at", "cx", "cy")
+    built = circle_cells(construction_circles(permits, as_of), size).select(
+        F.lit("construction").alias("hazard"), "severity", as_of.alias("observed_at"), "cx", "cy")
+    kept = F.broadcast(bands.select("hazard", "severity").distinct())
+    return raster.unionByName(built).join(kept, ["hazard", "severity"], "left_semi")
+
+
 def union_bands(raster: DataFrame, construction: DataFrame) -> DataFrame:
     return raster.unionByName(construction)
 
@@ -190,13 +203,17 @@ def budget_fields(bands: DataFrame, n: int = MAX_HAZARD_FIELDS) -> DataFrame:
     return bands.orderBy(F.desc("severity"), "hazard", F.desc("band_max")).limit(n)
 
 
-def current_fields(fields: DataFrame, as_of: Column, hours: float = FIELD_LOOKBACK_HOURS) -> DataFrame:
-    """Bands of each hazard's newest snapshot, unless that is older than the lookback."""
+def newest_snapshots(fields: DataFrame, as_of: Column, hours: float = FIELD_LOOKBACK_HOURS) -> DataFrame:
+    """Rows (bands or their cells) of each hazard's newest snapshot, unless that is older than the lookback."""
     recent = fields.where((F.col("observed_at") >= as_of - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"))
                           & F.col("hazard").isin(*HAZARDS))
     newest = recent.groupBy("hazard").agg(F.max("observed_at").alias("observed_at"))
-    return (recent.join(F.broadcast(newest), ["hazard", "observed_at"])  # at most one row per hazard
-            .withColumn("area_id", area_name(F.col("hazard"), F.col("severity")))
+    return recent.join(F.broadcast(newest), ["hazard", "observed_at"])  # at most one row per hazard
+
+
+def current_fields(fields: DataFrame, as_of: Column, hours: float = FIELD_LOOKBACK_HOURS) -> DataFrame:
+    """Current bands with the names of their areas."""
+    return (newest_snapshots(fields, as_of, hours).withColumn("area_id", area_name(F.col("hazard"), F.col("severity")))
             .orderBy("hazard", "severity"))
 
 
