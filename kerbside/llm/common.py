@@ -20,6 +20,16 @@ def keyed_text(records: DataFrame, key: str, text: str) -> DataFrame:
     return records.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"))
 
 
+def hashed_share(value: str, wanted: int, count: int) -> Column:
+    """True for the values with the smallest hashes, about ``wanted`` and half as many again of ``count``.
+
+    Ahead of an ordered limit it keeps every task from sending a full limit's rows of its own.
+    """
+    if count <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(value), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, (1.5 * wanted + 100) / count)))
+
+
 def ascii_lower(value: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(value, upper, upper.lower())

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kerbside.llm.common import hashed_share
 from kerbside.session import stored
 
 SAMPLE_ROWS = 20_000       # projected vectors that the tree's planes are fitted on at most
@@ -141,7 +142,7 @@ def similar_segments(segments: DataFrame, queries: DataFrame, segment_id: str =
             yield pa.RecordBatch.from_arrays([pa.array(list(points), pa.list_(pa.float64()))], names=["p"])
 
     depth = int(np.clip(np.ceil(np.log2(max(count / LEAF_ROWS, 1))), 0, TREE_DEPTH))
-    sample = rows.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS).mapInArrow(sketch, "p array<double>").collect() if depth else []
+    sample = rows.select("v").where(hashed_share("v", SAMPLE_ROWS, count)).orderBy(F.pmod(F.xxhash64("v"), F.lit(1 << 40))).limit(SAMPLE_ROWS).mapInArrow(sketch, "p array<double>").collect() if depth else []
     cuts = planes(np.array([r["p"] for r in sample]).reshape(-1, dimensions), depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

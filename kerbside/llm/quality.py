@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import hashed_share
 from kerbside.session import stored
 
 FEATURES = ("size", "distinct", "commonest", "upper", "marks", "digits", "spaces", "word_length", "lines")
@@ -101,7 +102,8 @@ def alert_quality(alerts: DataFrame, labels: DataFrame, alert_id: str = "alert_i
                       "shapes")
     known = (labels.select(F.col(f"`{alert_id}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
              .groupBy("key").agg(F.max("y").alias("y")))
-    sample = (measured.join(known, "key").orderBy(F.xxhash64("key"), "key", *FEATURES).limit(sample_rows)
+    drawn = known.where(hashed_share("key", sample_rows, known.count()))
+    sample = (measured.join(drawn, "key").orderBy(F.pmod(F.xxhash64("key"), F.lit(1 << 40)), "key", *FEATURES).limit(sample_rows)
               .select("y", *FEATURES).toPandas())
     y, x = sample["y"].to_numpy(float), sample[list(FEATURES)].to_numpy(float)
     if 0 < y.sum() < len(y):
