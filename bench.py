@@ -20,6 +20,9 @@ HEADLINE = (
     "d15_pollutant_samples",
     "c8_sample_route_images",           # image sampling for all routes at once
     "traffic_percentile_per_segment",   # kernel and percentile over all segments
+    "d7_cluster_facilities", "d9_image_features", "d12_frame_metrics", "k5_live_priority",
+    "k8_cheapest_paths",                # all trips of the part graph, with no hop limit
+    "i2_stream_citywide_means",
 )
 
 
@@ -31,6 +34,8 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     catalogue, times = load_all(), {}
+    # Start-up (class loading, the first Python worker) belongs to no query.
+    catalogue["d1_citywide_means"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     for name in HEADLINE:
         start = time.time()
         catalogue[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
