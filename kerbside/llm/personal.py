@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import SPACES, keyed_text
+from kerbside.llm.common import SPACES, hashed_share, keyed_text
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -288,9 +288,9 @@ def find_personal_data(alerts: DataFrame, alert_id: str = "alert_id", descriptio
 
     The field sees the words around every digit and @ (most text has neither) and scores candidate segments of
     up to WORDS_MOST words as wholes; boundaries and kinds are chosen together. It is fitted on at most
-    ``sample_zones`` zones, those with the smallest hashes, with the patterns' own matches and assignments of
-    hexadecimal secrets as teachers. One pass over the texts for the zones to learn from, one for the result;
-    nothing is shuffled.
+    ``sample_zones`` zones of the texts with the smallest hashes, with the patterns' own matches and assignments of
+    hexadecimal secrets as teachers. Two passes over the texts find the zones to learn from (one counts, one
+    draws), one makes the result; no text is shuffled.
 
     Defined cases: a null or empty description has no spans; a word longer than CHARS_MOST is no part of an
     entity of the field (the patterns still see it); without zones the field adds nothing; repeated rows and
@@ -306,7 +306,8 @@ def find_personal_data(alerts: DataFrame, alert_id: str = "alert_id", descriptio
             yield pa.RecordBatch.from_arrays([pa.array([z for z in out if len(z) <= 8 * CHARS_MOST], pa.string())], names=["zone"])
 
     marked = source.where(F.col("text").rlike("[0-9@]")).select("text")
-    sample = (marked.mapInArrow(excerpts, "zone string").distinct().orderBy(F.xxhash64("zone"), "zone").limit(sample_zones).collect())
+    drawn = marked.where(hashed_share("text", sample_zones, marked.count()))    # each holds a zone at least
+    sample = (drawn.mapInArrow(excerpts, "zone string").distinct().orderBy(F.xxhash64("zone"), "zone").limit(sample_zones).collect())
     field = fit([r["zone"] for r in sample])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
