@@ -21,7 +21,6 @@ HEADLINE = (
     "c8_sample_route_images",           # image sampling for all routes at once
     "traffic_percentile_per_segment",   # kernel and percentile over all segments
     "d7_cluster_facilities", "d9_image_features", "d12_frame_metrics", "k5_live_priority",
-    "k8_cheapest_paths",                # all trips of the part graph, with no hop limit
     "i2_stream_citywide_means",
 )
 
