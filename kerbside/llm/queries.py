@@ -213,3 +213,43 @@ def op10(spark, sf_dir):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(F.col("alert_id").alias("doc_id"), *map(count, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+# --- 11: embedding whitening ---------------------------------------------------------------------------------
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    from kerbside.llm.whitening import whitened_scores
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment_id"), F.col("embedding").alias("scores"))
+    return (whitened_scores(vectors).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+            .withColumnRenamed("segment_id", "vec_id"))
+
+
+# --- 12: phrase collocation mining ----------------------------------------------------------------------------
+@query("op12_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]') AS parts FROM documents),
+words AS (SELECT lang, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(parts) AS part FROM pieces)),
+placed AS (SELECT lang, w, pos, size FROM words, unnest(range(1, len(w) + 1)) AS u(pos), unnest(range(1, 6)) AS v(size) WHERE pos + size <= len(w) + 1),
+counted AS (
+  SELECT lang, list_slice(w, pos, pos + size - 1) AS w, any_value(size) AS size, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+candidates AS (SELECT lang, w, size, f AS a FROM counted WHERE size >= 2),
+cuts AS (
+  SELECT c.lang, c.w, c.size, c.a, k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM candidates c, unnest(range(1, c.size)) AS u(k), counted l, counted r, totals t
+  WHERE l.lang = c.lang AND r.lang = c.lang AND t.lang = c.lang AND l.w = list_slice(c.w, 1, k) AND r.w = list_slice(c.w, k + 1, c.size)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS place FROM cuts) WHERE place = 1),
+inside AS (
+  SELECT DISTINCT lang, inner_w AS w, inner_a AS a FROM (
+    SELECT c.lang, c.a AS inner_a, list_slice(c.w, s, s + m - 1) AS inner_w
+    FROM candidates c, unnest(range(2, c.size)) AS u(m), unnest(range(1, c.size - m + 2)) AS v(s))),
+left_over AS (SELECT b.* FROM best b ANTI JOIN inside i ON b.lang = i.lang AND b.w = i.w AND 100 * i.a >= 100 * b.a),
+ranked AS (
+  SELECT *, array_to_string(w, ' ') AS phrase FROM left_over)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) WHERE rank <= 2000""")
+def op12(spark, sf_dir):
+    from kerbside.llm.collocations import alert_phrases
+    texts = table(spark, sf_dir, "documents").select(F.col("lang").alias("section"), F.col("text").alias("description"))
+    return alert_phrases(texts).withColumnsRenamed({"section": "lang", "n_phrase": "a", "n_left": "l", "n_right": "r", "n_words": "n"})
