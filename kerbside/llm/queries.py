@@ -253,3 +253,10 @@ def op12(spark, sf_dir):
     from kerbside.llm.collocations import alert_phrases
     texts = table(spark, sf_dir, "documents").select(F.col("lang").alias("section"), F.col("text").alias("description"))
     return alert_phrases(texts).withColumnsRenamed({"section": "lang", "n_phrase": "a", "n_left": "l", "n_right": "r", "n_words": "n"})
+
+
+# --- 13: language-model scores ---------------------------------------------------------------------------------
+@query("op13_context_mixing")
+def op13(spark, sf_dir):
+    from kerbside.llm.mixing import alert_likelihood
+    return alert_likelihood(alerts(spark, sf_dir)).withColumnRenamed("alert_id", "doc_id")
