@@ -15,7 +15,8 @@ from kerbside.llm.common import text_of
 from kerbside.session import stored
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-TO_BREAK = bytes.maketrans(SEPARATORS, b"\n" * len(SEPARATORS))
+BREAK = b"\xff"            # no byte of UTF-8
+TO_BREAK = bytes.maketrans(SEPARATORS, BREAK * len(SEPARATORS))
 TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 LONGEST = 5                # words in a phrase
 BLOCK = 1 << 21            # words counted before a task sends what it has
@@ -31,36 +32,50 @@ def _batch(section: str, phrases: list[bytes], counts) -> pa.RecordBatch:
                                        pa.array(counts, pa.int64())], names=["section", "phrase", "n"])
 
 
+def _numbered(section: bytes, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(section + b"\n" + word)
+
+
+def _joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """One number for two words, from theirs."""
+    h = one * np.uint64(0x9E3779B97F4A7C15) ^ (two + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class _Filter:
-    """A set of (section, phrase) in a fixed number of bits: it may hold more than was put in, never less."""
+    """A set of numbers in a fixed number of bits: it may hold more than was put in, never less."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     @staticmethod
-    def places(section: bytes, phrase: bytes, size: int) -> tuple[int, int]:
-        h = xxhash.xxh64_intdigest(section + b"\n" + phrase)
-        return h % size, (h >> 32) * 0x9E3779B1 % size
+    def places(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return numbers % np.uint64(size), (numbers >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(size)
 
-    def __call__(self, section: bytes, phrase: bytes) -> bool:
-        one, two = self.places(section, phrase, len(self.bits) * 8)
-        return bool(self.bits[one >> 3] >> (one & 7) & 1 and self.bits[two >> 3] >> (two & 7) & 1)
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        found = np.ones(len(numbers), bool)
+        for at in self.places(numbers, len(self.bits) * 8):
+            found &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return found
 
     @staticmethod
     def of(phrases: DataFrame, size: int) -> "_Filter":
-        """Tasks set their bits; at most ``size`` / 64 words of bits reach the driver."""
+        """Of phrases of one or two words. Tasks set their bits; at most ``size`` / 64 words of bits reach the driver."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = np.zeros(size // 8, np.uint8)
             for batch in batches:
-                for section, phrase in zip(batch.column("section").to_pylist(), batch.column("phrase").to_pylist()):
-                    for at in _Filter.places(section.encode(), phrase.encode(), size):
-                        mine[at >> 3] |= 1 << (at & 7)
-            words = mine.view(np.int64)
-            at = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
+                words = [[_numbered(s.encode(), w) for w in p.encode("utf-8", "surrogatepass").split(b" ")]
+                         for s, p in zip(batch.column("section").to_pylist(), batch.column("phrase").to_pylist())]
+                ends = [np.array([w[i] for w in words], np.uint64) for i in (0, -1)]
+                two = np.array([len(w) == 2 for w in words], bool)
+                for at in _Filter.places(np.where(two, _joined(*ends), ends[0]), size):
+                    np.bitwise_or.at(mine, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+            whole = mine.view(np.int64)
+            at = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(whole[at])], names=["at", "bits"])
 
         whole = np.zeros(size // 64, np.int64)
-        for r in phrases.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        for r in phrases.select("section", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
             whole[r["at"]] = r["bits"]
         return _Filter(whole.view(np.uint8))
 
@@ -90,15 +105,19 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 class _Ids(dict):
-    """Numbers of words in the order they come; -1 for words that belong to no frequent phrase."""
+    """Numbers of a section's words in the order they come; -1 for words that belong to no frequent phrase, and between pieces."""
 
-    def __init__(self, wanted):
-        self.wanted, self.words = wanted, []
+    def __init__(self, section: bytes, wanted: _Filter):
+        super().__init__({BREAK: -1})
+        self.section, self.wanted, self.words, self.numbers = section, wanted, [], []
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.words) if self.wanted(word) else -1
-        if at >= 0:
+        number = _numbered(self.section, word)
+        known = bool(self.wanted.holds(np.array([number], np.uint64))[0])
+        self[word] = at = len(self.words) if known else -1
+        if known:
             self.words.append(word)
+            self.numbers.append(number)
         return at
 
 
@@ -108,46 +127,41 @@ def _phrase_counts(texts: DataFrame, words: _Filter, pairs: _Filter | None) -> D
     Each block of words is sorted and counted by number; a phrase's number is the rank of its left part in the
     block, with the number of its last word.
     """
-    def blocks(section: str, ids: _Ids, pieces: list[int]) -> Iterator[pa.RecordBatch]:
-        word, name = np.array(pieces, np.int64), section.encode()
+    def blocks(section: str, ids: _Ids, placed: list[int]) -> Iterator[pa.RecordBatch]:
+        word, number = np.array(placed, np.int64), np.array(ids.numbers, np.uint64)
         at = np.flatnonzero((word[:-1] >= 0) & (word[1:] >= 0))
-        phrases, rank = ids.words, word
+        if pairs is not None:
+            close = np.zeros(len(word) + LONGEST, bool)
+            close[at] = pairs.holds(_joined(number[word[at]], number[word[at + 1]]))
+            at = np.flatnonzero(close[:len(word)] & close[1:len(word) + 1])      # two frequent pairs in a row
+        phrases, rank = ids.words, word[at]
         for size in range(2, LONGEST + 1 if pairs else 3):
-            keys, rank_at, counts = np.unique(rank[at] << 32 | word[at + size - 1], return_inverse=True, return_counts=True)
+            keys, rank, counts = np.unique(rank << 32 | word[at + size - 1], return_inverse=True, return_counts=True)
             phrases = [phrases[k >> 32] + b" " + ids.words[k & 0xFFFFFFFF] for k in keys.tolist()]
-            if (size == 2) == (pairs is None):
+            if size > 2 or pairs is None:
                 yield _batch(section, phrases, counts)
-            if pairs is None:
-                return
-            rank = np.full(len(word), -1, np.int64)
-            rank[at] = rank_at
-            if size == 2:
-                known = np.array([pairs(name, p) for p in phrases], bool)
-                close = np.zeros(len(word) + LONGEST, bool)
-                close[at] = known[rank_at]
-                at = np.flatnonzero(close[:len(word)])
-            at = at[close[at + size - 1]]      # the next two words are a frequent phrase too
+            if size > 2:
+                on = close[at + size - 1]
+                at, rank = at[on], rank[on]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[_Ids, list[int]]] = {}
 
         def flush():
-            for section, (ids, pieces) in seen.items():
-                yield from blocks(section, ids, pieces)
+            for section, (ids, placed) in seen.items():
+                yield from blocks(section, ids, placed)
             seen.clear()
 
         held = 0
         for batch in batches:
             for section, text in zip(batch.column("section").to_pylist(), batch.column("text").to_pylist()):
                 if section not in seen:
-                    name = section.encode()
-                    seen[section] = _Ids(lambda w, name=name: words(name, w)), []
-                ids, pieces = seen[section]
-                before = len(pieces)
-                for piece in _bytes_of(text, TO_BREAK).split(b"\n"):
-                    pieces.extend(map(ids.__getitem__, piece.split()))
-                    pieces.append(-1)
-                held += len(pieces) - before
+                    seen[section] = _Ids(section.encode(), words), []
+                ids, placed = seen[section]
+                before = len(placed)
+                placed.extend(map(ids.__getitem__, _bytes_of(text, TO_BREAK).replace(BREAK, b" %b " % BREAK).split()))
+                placed.append(-1)
+                held += len(placed) - before
                 if held >= BLOCK:
                     yield from flush()
                     held = 0
@@ -160,7 +174,8 @@ def _levels(frequent: DataFrame) -> dict[int, DataFrame]:
     """For every phrase length the phrases with the counts of all their beginnings and ends.
 
     The stream of each length is merged in prefix order with the one a word shorter, by its left part, and in
-    suffix order by its right part; the lists of shorter beginnings and ends come along.
+    suffix order by its right part; the lists of shorter beginnings and ends come along. Each merged stream is stored, as
+    four others read it.
     """
     none = F.array().cast("array<long>")
     levels = {1: frequent.where("size = 1").select("section", "phrase", "n", none.alias("lefts"), none.alias("rights"))}
@@ -169,7 +184,7 @@ def _levels(frequent: DataFrame) -> dict[int, DataFrame]:
             "section", "phrase", "n", F.substring_index("phrase", " ", size - 1).alias("left"), F.substring_index("phrase", " ", 1 - size).alias("right"))
         left = levels[size - 1].select("section", F.col("phrase").alias("left"), F.concat("lefts", F.array("n")).alias("lefts")).hint("merge")
         right = levels[size - 1].select("section", F.col("phrase").alias("right"), F.concat("rights", F.array("n")).alias("rights")).hint("merge")
-        levels[size] = longer.join(left, ["section", "left"]).join(right, ["section", "right"])
+        levels[size] = stored(longer.join(left, ["section", "left"]).join(right, ["section", "right"]), f"phrases-{size}")
     return levels
 
 
