@@ -52,6 +52,12 @@ class _Filter:
     def places(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         return numbers % np.uint64(size), (numbers >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(size)
 
+    def has(self, number: int) -> bool:
+        """The same for one number."""
+        size = len(self.bits) * 8
+        one, two = number % size, (number >> 32) * 0x9E3779B1 % size
+        return bool(self.bits[one >> 3] >> (one & 7) & 1 and self.bits[two >> 3] >> (two & 7) & 1)
+
     def holds(self, numbers: np.ndarray) -> np.ndarray:
         found = np.ones(len(numbers), bool)
         for at in self.places(numbers, len(self.bits) * 8):
@@ -113,7 +119,7 @@ class _Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         number = _numbered(self.section, word)
-        known = bool(self.wanted.holds(np.array([number], np.uint64))[0])
+        known = self.wanted.has(number)
         self[word] = at = len(self.words) if known else -1
         if known:
             self.words.append(word)
@@ -150,7 +156,9 @@ def _phrase_counts(texts: DataFrame, words: _Filter, pairs: _Filter | None) -> D
         def flush():
             for section, (ids, placed) in seen.items():
                 yield from blocks(section, ids, placed)
-            seen.clear()
+                placed.clear()
+            if sum(len(ids) for ids, _ in seen.values()) > BLOCK:
+                seen.clear()
 
         held = 0
         for batch in batches:

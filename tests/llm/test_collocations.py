@@ -83,6 +83,8 @@ def test_filter_never_loses(spark):
             yield _joined(*w)[0] if len(w) == 2 else w[0][0]
 
     assert held.holds(np.array([*numbers(phrases)])).all()
+    some = [*numbers(phrases[:50])] + [np.uint64(i * 0x9E3779B97F4A7C15 % 2 ** 64) for i in range(50)]
+    assert [held.has(int(n)) for n in some] == held.holds(np.array(some)).tolist()
     assert held.holds(np.array([*numbers((("s9", f"x{i} y", 0) for i in range(2000)))])).sum() < 200
 
 
