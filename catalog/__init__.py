@@ -4,7 +4,7 @@ from catalog.base import REGISTRY
 
 
 def load_all():
-    from catalog import feeds, imagery, live, routes, scalars, static, streams, tables  # noqa: F401
+    from catalog import feeds, imagery, live, routes, scalars, static, streams, tables, trips  # noqa: F401
     from catalog import salted  # noqa: F401  needs the others
 
     return REGISTRY

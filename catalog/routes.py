@@ -272,16 +272,6 @@ def k9(t: Tables):
                       r4("distance_cap_m").alias("distance_cap_m"), F.col("detour_cap_exceeded").cast("long").alias("detour_cap_exceeded"))
 
 
-@register("k14_scenario_diff", f"""WITH {CANDIDATES}, c2 AS (SELECT od_id, variant, attempt, cap, distance_m+CASE WHEN variant='fastest' THEN 0 ELSE od_id%50 END AS distance_m FROM cap),
-ch2 AS (SELECT *, row_number() OVER (PARTITION BY od_id, variant ORDER BY CASE WHEN distance_m<=cap THEN 0 ELSE 1 END, CASE WHEN distance_m<=cap THEN attempt ELSE distance_m END, attempt) AS rn FROM c2)
-SELECT a.od_id, a.variant, {q4('abs(b.distance_m-a.distance_m)')} AS shift_m, cast(a.attempt<>b.attempt as bigint) AS path_changed FROM ch a JOIN ch2 b USING (od_id, variant) WHERE a.rn=1 AND b.rn=1""")
-def k14(t: Tables):
-    smoke = candidates(t).withColumn("distance_m", F.col("distance_m") + F.when(F.col("variant") == "fastest", 0).otherwise(F.col("od_id") % 50))
-    a = routes.compare_variants(candidates(t), tolerances(t)).withColumn("path_key", F.col("chosen_attempt"))
-    b = routes.compare_variants(smoke, tolerances(t)).withColumn("path_key", F.col("chosen_attempt"))
-    return routes.scenario_diff(a, b).select("od_id", "variant", r4("shift_m").alias("shift_m"), F.col("path_changed").cast("long").alias("path_changed"))
-
-
 # --- announcements -----------------------------------------------------------------------------------
 LONG = f"lg AS (SELECT route_id, distance_m, unnest({list(ROUTE_EXPOSURES)!r}) AS hazard, unnest([{', '.join(ROUTE_EXPOSURES)}]) AS exposure FROM ex)"
 TOP = f"tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY exposure DESC, list_position({list(HAZARDS)!r}, hazard)) AS place FROM lg WHERE exposure>=60) WHERE place<=3)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.geo import point_at
 from kerbside.functions.numbers import distance_decay
-from kerbside.operators.ranking import percent_rank_pct
+from kerbside.operators.ranking import percent_rank_pct, percent_ranks_pct
 from kerbside.operators.skew import HOT_MIN_ROWS, lookup_join
 from kerbside.operators.spatial import (PLACE, cluster_points, legs_of, nearest_leg_by_class,
                                         points_near_legs, points_near_points)
@@ -133,9 +133,7 @@ def traffic_exposure(segments: DataFrame, roads: DataFrame, radius: float = KERN
 
 # --- percentiles -----------------------------------------------------------------------------------
 def tree_percentiles(samples: DataFrame) -> DataFrame:
-    shaded = percent_rank_pct(samples, "segment_id", "trees_per_100m", "shade_benefit")
-    ranked = percent_rank_pct(shaded, "segment_id", "pollen_weight_per_100m", "pollen_source")
-    return ranked.select("segment_id", "shade_benefit", "pollen_source")
+    return percent_ranks_pct(samples, "segment_id", {"trees_per_100m": "shade_benefit", "pollen_weight_per_100m": "pollen_source"})
 
 
 def industrial_percentiles(samples: DataFrame) -> DataFrame:
@@ -152,16 +150,11 @@ def traffic_percentiles(samples: DataFrame) -> DataFrame:
 
 def pollutant_percentiles(samples: DataFrame) -> DataFrame:
     """Each pollutant ranks only the segments that have a value for it."""
-    ranked = samples
-    for hazard in ("pm25", "no2", "ozone"):
-        ranked = percent_rank_pct(ranked, "segment_id", f"{hazard}_raw", f"{hazard}_prior", skip_null=True)
-    return ranked.select("segment_id", "pm25_prior", "no2_prior", "ozone_prior")
+    return percent_ranks_pct(samples, "segment_id", {f"{h}_raw": f"{h}_prior" for h in ("pm25", "no2", "ozone")}, skip_null=True)
 
 
 def image_percentiles(samples: DataFrame) -> DataFrame:
-    sky = percent_rank_pct(samples, "segment_id", "sky_view_factor_raw", "sky_view_factor")
-    return (percent_rank_pct(sky, "segment_id", "crowd_density_raw", "crowd_prior")
-            .select("segment_id", "sky_view_factor", "crowd_prior"))
+    return percent_ranks_pct(samples, "segment_id", {"sky_view_factor_raw": "sky_view_factor", "crowd_density_raw": "crowd_prior"})
 
 
 def geocode_permits(permits: DataFrame, centroids: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame:

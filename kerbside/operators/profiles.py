@@ -140,33 +140,46 @@ def edges_in_areas(legs: DataFrame, area_cells: DataFrame, size: float, edge_id:
             .select(edge_id, "hazard", "severity").distinct())
 
 
-def live_priority(edges: DataFrame, touched: DataFrame, edge_id: str = "edge_id",
-                  scale: Column | None = None, gates: dict[str, Column] | None = None) -> DataFrame:
-    """Edges with ``live_priority``: the product over touched areas the profile cares about.
+AREAS = "array<struct<hazard:string,severity:int>>"
+
+
+def with_areas(edges: DataFrame, touched: DataFrame | None, edge_id: str = "edge_id") -> DataFrame:
+    """Edges with ``areas``: the (hazard, severity) pairs they touch, sorted, null for none.
 
-    ``touched`` comes from ``edges_in_areas``. Areas of hazards without weight are left out, and an
-    edge inside an active construction area is impassable for profiles that avoid those.
+    ``touched`` comes from ``edges_in_areas``. At most one row per hazard and severity for an edge, so a
+    small array carries them all.
+    """
+    if touched is None:
+        return edges.withColumn("areas", F.lit(None).cast(AREAS))
+    pair = F.struct(F.col("hazard"), F.col("severity").cast("int").alias("severity"))
+    per_edge = touched.groupBy(edge_id).agg(F.array_sort(F.collect_set(pair)).alias("areas"))
+    return edges.join(per_edge, edge_id, "left")
+
+
+def area_priority(scale: Column, gates: dict[str, Column] | None = None) -> Column:
+    """The product over the row's ``areas`` of what the row's profile makes of them; 0 where it refuses one.
+
+    Areas of hazards without weight are left out, and an edge inside an active construction area is
+    impassable for profiles that avoid those.
     """
-    scale = F.lit(1.0) if scale is None else scale
-    # At most one row per hazard and severity for an edge, so a small map carries them all.
-    per_edge = touched.groupBy(edge_id).agg(F.collect_set(F.struct("hazard", "severity")).alias("areas"))
-    joined = edges.join(per_edge, edge_id, "left")
     known = [*DIRECT_SCORES, *INVERSE_SCORES, "construction", "heat", "cold_air", "humidity",
              "pollen_grass", "pollen_weed"]
-    effective = F.create_map(*[c for h in dict.fromkeys(known)
-                               for c in (F.lit(h), weight_of(h, scale, gates))])
-    with_weights = joined.withColumn("__eff", effective)
+    effective = F.create_map(*[c for h in dict.fromkeys(known) for c in (F.lit(h), weight_of(h, scale, gates))])
+    areas = F.coalesce("areas", F.array().cast(AREAS))
     product = F.aggregate(
-        F.coalesce("areas", F.array().cast("array<struct<hazard:string,severity:int>>")), F.lit(1.0),
-        lambda p, a: p * F.when(
-            F.coalesce(F.col("__eff")[a["hazard"]], F.lit(0.0)) > 0,
-            area_multiplier(F.col("__eff")[a["hazard"]], F.col("conservatism"), a["severity"]))
-        .otherwise(F.lit(1.0)))
+        areas, F.lit(1.0),
+        lambda p, a: p * F.when(F.coalesce(effective[a["hazard"]], F.lit(0.0)) > 0,
+                                area_multiplier(effective[a["hazard"]], F.col("conservatism"), a["severity"])).otherwise(F.lit(1.0)))
     blocked = (F.array_contains("hard_avoids", "active_construction_frontage")
-               & F.exists(F.coalesce("areas", F.array().cast("array<struct<hazard:string,severity:int>>")),
-                          lambda a: a["hazard"] == "construction"))
-    return (with_weights.withColumn("live_priority", F.when(blocked, F.lit(0.0)).otherwise(product))
-            .drop("areas", "__eff"))
+               & F.exists(areas, lambda a: a["hazard"] == "construction"))
+    return F.when(blocked, F.lit(0.0)).otherwise(product)
+
+
+def live_priority(edges: DataFrame, touched: DataFrame, edge_id: str = "edge_id",
+                  scale: Column | None = None, gates: dict[str, Column] | None = None) -> DataFrame:
+    """Edges with ``live_priority``: the product over touched areas the profile cares about."""
+    scale = F.lit(1.0) if scale is None else scale
+    return with_areas(edges, touched, edge_id).withColumn("live_priority", area_priority(scale, gates)).drop("areas")
 
 
 def hard_avoid(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.operators.skew import HOT_MIN_ROWS, lookup_join
+from kerbside.session import stored
 
 BUCKETS_PER_OCTAVE = 256
 _ZERO_OFFSET = 1100 * BUCKETS_PER_OCTAVE  # beyond the exponent range of a double
@@ -82,34 +83,134 @@ def percent_rank_pct(df: DataFrame, id_col: str, value: str, out: str, skip_null
     return result.drop("__rank_value")
 
 
+def percent_ranks_pct(df: DataFrame, id_col: str, outs: dict[str, str], skip_null: bool = False,
+                      min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """``percent_rank_pct`` of many columns at once: one row per id with the ranks, named by ``outs`` (value column -> rank).
+
+    Columns are stacked, so all of them share one count of values, one pass of prefix totals and one lookup. ``id_col`` is unique.
+    """
+    values, names = list(outs), list(outs.values())
+    stacked = df.select(id_col, F.posexplode(F.array(*[F.col(v).cast("float") for v in values])).alias("__c", "__v"))
+    counted = stored(value_counts_before(stacked.where(F.col("__v").isNotNull()), "__v", ["__c"]), "stacked-ranks")
+    present = {r["__c"]: r["total"] for r in counted.groupBy("__c").agg(F.max("total").alias("total")).collect()}
+    everyone = F.col("total") if skip_null else F.lit(df.count())
+    last = {} if skip_null else {i: F.lit(float(present.get(i, 0))) / F.greatest(everyone - 1, F.lit(1)) * 100.0 for i in range(len(values))}
+    table = counted.select("__c", "__v", F.when(everyone > 1, F.col("before") / (everyone - 1) * 100.0).otherwise(F.lit(0.0)).alias("__rank"))
+    ranked = lookup_join(stacked, table, ["__c", "__v"], F.col(id_col), "left", min_rows)
+    columns = []
+    for i, name in enumerate(names):
+        rank = F.max(F.when(F.col("__c") == i, F.col("__rank")))
+        columns.append((rank if skip_null else F.coalesce(rank, last[i] if present.get(i, 0) else F.lit(0.0))).alias(name))
+    return ranked.groupBy(id_col).agg(*columns)
+
+
+# --- selection: a digit of the value's order number per round, no sort ---------------------------------
+DIGIT = 16                 # bits settled per round, so a round counts into 65,536 places at most
+
+
+def order_number(value: Column) -> Column:
+    """A long that orders like the 64-bit value: its exponent and the 52 bits behind it, signed. NaN is last.
+
+    Scaling by powers of two is exact, so different values have different numbers; -0 and 0 share one.
+    """
+    size = F.abs(value.cast("double"))
+    guess = F.floor(F.log2(size))
+
+    def power(e: Column) -> Column:
+        return F.pow(F.lit(2.0), e.cast("double"))
+
+    # The logarithm may round across a power of two.
+    exponent = F.when(power(guess) > size, guess - 1).when(power(guess + 1) <= size, guess + 1).otherwise(guess)
+    normal = (exponent + 1023) * F.lit(1 << 52) + ((size / power(exponent) - 1.0) * F.lit(float(1 << 52))).cast("long")
+    tiny = (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")
+    number = F.when(size == float("inf"), F.lit(2047 << 52)).when(size < F.lit(2.0 ** -1022), tiny).otherwise(normal)
+    return F.when(F.isnan(value.cast("double")), F.lit((1 << 63) - 1)).when(value < 0, -number).otherwise(number).cast("long")
+
+
+def select_values(df: DataFrame, value: str, group: Sequence[str], targets: DataFrame, weight: str | None = None) -> DataFrame:
+    """(group, target, value): for every target the value at which the group's rows, in order, reach what it needs.
+
+    ``targets``: the group columns, target, need, and weighed: the smallest value whose running weight is at least ``need`` (double), or
+    for targets that are not weighed the one with the 0-based row number ``need``. Rows have a value; null groups are groups.
+
+    Radix selection: each of four rounds counts the rows that agree with a target so far by the next digit of their order number,
+    combining ahead of the shuffle, and adds the counts up to find the digit. A round hands on at most 65,536 counts for a group and
+    beginning, whatever the values; nothing sorts rows and no task gathers those that are close to each other.
+    """
+    group = list(group)
+    rows = df.select(*group, F.col(value).alias("__v"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("__w"),
+                     order_number(F.col(value)).alias("__o"))
+    open_ = targets.select(*group, "target", F.col("need").cast("double").alias("need"), "weighed", F.lit(0).cast("long").alias("__p"),
+                           F.lit(0.0).alias("__bw"), F.lit(0).cast("long").alias("__bn"))
+    names, place = [*group, "__p"], [*group, "__p", "__d"]
+
+    def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Joined on group and beginning, nulls included."""
+        on = F.lit(True)
+        for c in names:
+            on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+        found = left.join(right.withColumnsRenamed({c: f"__of_{c}" for c in names}), on, how)
+        return found if how == "left_semi" else found.drop(*[f"__of_{c}" for c in names])
+
+    for level in range(64 - DIGIT, -1, -DIGIT):
+        first = level == 64 - DIGIT
+        # The first digit keeps the sign; the others are what is left of the number.
+        digit = F.shiftright("__o", level) if first else F.shiftright("__o", level).bitwiseAND((1 << DIGIT) - 1)
+        begun = F.lit(0).cast("long") if first else F.shiftright("__o", level + DIGIT)
+        here = rows.withColumns({"__p": begun, "__d": digit})
+        if not first:
+            wanted = open_.select(*names).distinct()
+            here = matched(here, wanted, "left_semi")
+        counts = here.groupBy(*place).agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("__v").alias("__v"))
+        upto = Window.partitionBy(*names).orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = counts.select(*names, "__d", "__v", (F.sum("w").over(upto) - F.col("w")).alias("before_w"), F.sum("w").over(upto).alias("upto_w"),
+                                (F.sum("n").over(upto) - F.col("n")).alias("before_n"), F.sum("n").over(upto).alias("upto_n"))
+        reached = F.when(F.col("weighed"), F.col("__bw") + F.col("upto_w") >= F.col("need")).otherwise(F.col("__bn") + F.col("upto_n") > F.col("need"))
+        found = F.struct("__d", "__v", "before_w", "before_n")
+        met = matched(running, open_.drop("__v"), "inner").select(*names, "target", "need", "weighed", "__bw", "__bn", reached.alias("reached"), found.alias("found"))
+        # Rounding may leave a running weight short of a need that is all of it: then the last digit.
+        picked = met.groupBy(*names, "target").agg(
+            F.first("need").alias("need"), F.first("weighed").alias("weighed"), F.first("__bw").alias("__bw"), F.first("__bn").alias("__bn"),
+            F.coalesce(F.min(F.when(F.col("reached"), F.col("found"))), F.max("found")).alias("at"))
+        open_ = picked.select(*group, "target", "need", "weighed", (F.col("at.__d") if first else F.col("__p") * F.lit(1 << DIGIT) + F.col("at.__d")).alias("__p"),
+                              (F.col("__bw") + F.col("at.before_w")).alias("__bw"), (F.col("__bn") + F.col("at.before_n")).alias("__bn"), F.col("at.__v").alias("__v"))
+        if level:
+            open_ = stored(open_.drop("__v"), "selection")
+    return open_.select(*group, "target", F.col("__v").alias(value))
+
+
 def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], group: Sequence[str] = (),
                     method: str = "linear") -> DataFrame:
     """Exact quantiles per group, one row per (group, fraction).
 
-    ``linear`` interpolates between neighbours at p*(n-1); ``nearest`` takes the ceil(p*n)-th value.
+    ``linear`` interpolates between neighbours at p*(n-1); ``nearest`` takes the ceil(p*n)-th value. The input is
+    read once per round of ``select_values`` and once to count, so an expensive one should be stored first.
     """
     if method not in ("linear", "nearest"):
         raise ValueError("method must be 'linear' or 'nearest'")
     group = list(group)
-    counts = value_counts_before(df.where(F.col(value).isNotNull()), value, group)
-    wanted = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
-    spread = counts.withColumn("fraction", wanted)
+    present = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    sizes = present.groupBy(*group).agg(F.count(F.lit(1)).alias("total")).where("total > 0")
+    wanted = F.posexplode(F.array(*[F.lit(float(f)) for f in fractions])).alias("i", "fraction")
+    spread = sizes.select("*", wanted)
     if method == "linear":
         spot = F.col("fraction") * (F.col("total") - 1)
-        low = F.floor(spot)
-        high = F.least(low + 1, F.col("total") - 1)
+        low, high = F.floor(spot), F.least(F.floor(spot) + 1, F.col("total") - 1)
     else:
         low = F.greatest(F.ceil(F.col("fraction") * F.col("total")) - 1, F.lit(0))
         spot, high = low.cast("double"), low
-    first, last = F.col("before"), F.col("before") + F.col("n") - 1
-    hit_low, hit_high = low.between(first, last), high.between(first, last)
-    picked = (spread.where(hit_low | hit_high)
-              .groupBy(*group, "fraction")
-              .agg(F.max(F.when(hit_low, F.col(value).cast("double"))).alias("lo"),
-                   F.max(F.when(hit_high, F.col(value).cast("double"))).alias("hi"),
-                   F.max(spot - low).alias("part")))
-    return picked.select(*group, "fraction",
-                         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("quantile"))
+    both = F.explode(F.array(F.struct((F.col("i") * 2).alias("target"), low.alias("need")), F.struct((F.col("i") * 2 + 1).alias("target"), high.alias("need"))))
+    spread = stored(spread.select(*group, "fraction", (spot - low).alias("part"), both.alias("t")).select(*group, "fraction", "part", "t.*"), "quantile-targets")
+    found = select_values(present, value, group, spread.withColumn("weighed", F.lit(False)))
+    named = {i: float(f) for i, f in enumerate(fractions)}
+    fraction = F.create_map(*[c for i, f in named.items() for c in (F.lit(i), F.lit(f))])[F.floor(F.col("target") / 2).cast("int")]
+    ends = found.groupBy(*group, fraction.alias("fraction")).agg(
+        F.max(F.when(F.col("target") % 2 == 0, F.col(value))).alias("lo"), F.max(F.when(F.col("target") % 2 == 1, F.col(value))).alias("hi"))
+    parts = spread.where("target % 2 = 0").select(*[F.col(c).alias(f"__{c}") for c in group], F.col("fraction").alias("__fraction"), "part")
+    on = F.col("fraction") == F.col("__fraction")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return ends.join(parts, on).select(*group, "fraction", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("quantile"))
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], ts: str, as_of: Column, lookback_hours: float,
@@ -200,25 +301,12 @@ def weighted_lower_median(df: DataFrame, key: str, value: str, weight: str, out:
                           tolerance: float = 1e-12) -> DataFrame:
     """Lower weighted median per key: the smallest value whose running weight reaches half.
 
-    When all weights are zero the middle element (index n//2) is taken. Equal values are merged
-    first and each key is split by value bucket, so a key with most of the rows is spread out.
+    When all weights are zero the middle element (index n//2) is taken. Found by ``select_values``.
     """
-    merged = (df.groupBy(key, value)
-              .agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
-              .withColumn("bucket", value_bucket(F.col(value))))
-    parts = merged.groupBy(key, "bucket").agg(F.sum("w").alias("pw"), F.sum("n").alias("pn"))
-    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
-    base = parts.select(
-        key, "bucket",
-        F.coalesce(F.sum("pw").over(earlier), F.lit(0.0)).alias("bw"),
-        F.coalesce(F.sum("pn").over(earlier), F.lit(0)).alias("bn"),
-        F.sum("pw").over(whole).alias("tw"), F.sum("pn").over(whole).alias("tn"))
-    inside = (Window.partitionBy(key, "bucket").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = (merged.withColumn("lw", F.sum("w").over(inside)).withColumn("ln", F.sum("n").over(inside))
-               .join(base, [key, "bucket"]))
-    reached = F.when(F.col("tw") > 0,
-                     (F.col("bw") + F.col("lw")) >= F.col("tw") / 2 * F.lit(1 - tolerance)) \
-        .otherwise(F.col("bn") + F.col("ln") > F.floor(F.col("tn") / 2))
-    return running.where(reached).groupBy(key).agg(F.min(value).alias(out))
+    present = df.where(F.col(value).isNotNull())
+    totals = present.groupBy(key).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
+    targets = stored(totals.select(
+        key, F.lit(0).alias("target"), (F.coalesce(F.col("w"), F.lit(0.0)) > 0).alias("weighed"),
+        F.when(F.col("w") > 0, F.col("w") / 2 * F.lit(1 - tolerance)).otherwise(F.floor(F.col("n") / 2).cast("double")).alias("need")), "median-targets")
+    found = select_values(present.withColumn("__weight", F.coalesce(F.col(weight), F.lit(0.0))), value, [key], targets, "__weight")
+    return found.select(key, F.col(value).alias(out))

@@ -174,6 +174,45 @@ FEEDBACK_SCHEMA = ("feedback_id string, route_id string, user_id string, felt_wo
                    "which_segments array<int>, created_at timestamp")
 
 
+def route_rows(explained: DataFrame, walked: DataFrame, edges: DataFrame, places: DataFrame, owners: DataFrame,
+               computed_at: Column) -> DataFrame:
+    """Chosen routes as rows of the history (``ROUTE_SCHEMA``), one per trip and variant.
+
+    ``explained`` and ``walked``: what the comparison returns. ``edges``: edge_id and speed_mps; ``places``: node, x, y;
+    ``owners``: od_id, user_id (null for nobody). The points are those of the edges in order. Edges in a row on one way make
+    one instruction: 0 at first, then 1 for each further way. A route without edges has neither.
+    """
+    key = ["od_id", "variant"]
+    step = F.struct("position", "x", "y", "osm_way_id", "length_m", "seconds")
+    at = places.select("node", "x", "y")
+    legs = walked.join(edges.select("edge_id", (F.lit(1.0) / F.col("speed_mps")).alias("pace")), "edge_id").withColumn("seconds", F.col("length_m") * F.col("pace"))
+    ends = legs.join(at.withColumnRenamed("node", "dst"), "dst")
+    starts = (legs.where("position = 1").join(at.withColumnRenamed("node", "src"), "src")
+              .withColumns({"position": F.lit(0), "length_m": F.lit(0.0), "seconds": F.lit(0.0)}))
+    names = [*key, "position", "x", "y", "osm_way_id", "length_m", "seconds"]
+    path = ends.select(*names).unionByName(starts.select(*names)).groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("path"))
+    instruction = "array<struct<sign:int,name:string,distance_m:double,duration_s:double>>"
+
+    def told(done: Column, leg: Column) -> Column:
+        name, last = leg["osm_way_id"].cast("string"), F.element_at(done, -1)
+        same = (F.size(done) > 0) & F.coalesce(F.try_element_at(done, F.lit(-1))["name"].eqNullSafe(name), F.lit(False))
+        longer = F.struct(last["sign"].alias("sign"), name.alias("name"), (last["distance_m"] + leg["length_m"]).alias("distance_m"),
+                          (last["duration_s"] + leg["seconds"]).alias("duration_s"))
+        new = F.struct(F.when(F.size(done) > 0, 1).otherwise(0).alias("sign"), name.alias("name"), leg["length_m"].alias("distance_m"), leg["seconds"].alias("duration_s"))
+        return F.when(same, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(new)))
+
+    legs_of = F.filter("path", lambda s: s["position"] > 0)
+    told_all = F.aggregate(legs_of, F.array().cast(instruction), lambda done, leg: told(done, leg).cast(instruction))
+    pts = F.transform("path", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    seconds = F.aggregate("path", F.lit(0.0), lambda total, s: total + s["seconds"])
+    breakdown = F.create_map(*[c for h in ROUTE_EXPOSURES for c in (F.lit(h), F.col(h).cast("double"))])
+    return (explained.join(path, key, "left").join(owners.select("od_id", "user_id"), "od_id", "left").select(
+        F.concat_ws("-", F.col("od_id").cast("string"), "variant", F.date_format(computed_at, "yyyyMMddHHmmss")).alias("route_id"),
+        F.col("user_id").cast("string").alias("user_id"), "variant", F.coalesce(pts, F.array().cast("array<struct<x:double,y:double>>")).alias("pts"),
+        F.col("distance_m").cast("double").alias("distance_m"), F.coalesce(seconds, F.lit(0.0)).alias("duration_s"), breakdown.alias("exposure_breakdown"),
+        F.coalesce(told_all, F.array().cast(instruction)).alias("instructions"), computed_at.alias("computed_at")))
+
+
 def owned_routes(routes: DataFrame, callers: DataFrame) -> DataFrame:
     """Routes belonging to one of the callers; routes without an owner belong to nobody."""
     return routes.join(callers.select("route_id", "user_id").distinct(), ["route_id", "user_id"], "left_semi")

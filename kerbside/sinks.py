@@ -241,6 +241,13 @@ def append_rows(df: DataFrame, path: str, schema: str) -> None:
     df.select(*[f.name for f in wanted]).write.mode("append").parquet(path)
 
 
+def append_routes(rows: DataFrame, path: str) -> None:
+    """Add routes to the history; their ids carry the time of their computation, so nothing is replaced."""
+    from kerbside.operators.routes import ROUTE_SCHEMA
+
+    append_rows(rows, path, ROUTE_SCHEMA)
+
+
 def union_readings(*feeds: DataFrame) -> DataFrame:
     """All reading feeds, one row per (hazard, station, time); later feeds overwrite earlier ones."""
     keys = ["hazard", "station_id", "observed_at"]

@@ -69,22 +69,25 @@ def recent_readings(spark, path: str, as_of: datetime | None = None) -> tuple[Da
 
 
 def stream_citywide_means(readings: DataFrame, path: str, out: str, checkpoint: str,
-                          trigger: dict | None = None) -> StreamingQuery:
-    """Store each batch and refresh the citywide means from the stored readings."""
+                          trigger: dict | None = None, clock: Callable[[], datetime] = datetime.now) -> StreamingQuery:
+    """Store each batch and refresh the citywide means from the stored readings.
+
+    ``clock`` tells the time of a trigger: readings dated later than CLOCK_SKEW after it are stored but not believed.
+    """
     def refresh(batch: DataFrame, _: int) -> None:
         store_readings(batch, path)
-        stored, now = recent_readings(batch.sparkSession, path)
+        stored, now = recent_readings(batch.sparkSession, path, clock())
         sinks.replace_table(live.citywide_means(stored, F.lit(now)), out)
 
     return _start(readings, refresh, checkpoint, trigger or {"processingTime": "1 minute"})
 
 
 def stream_hazard_fields(readings: DataFrame, cells: DataFrame, permits: DataFrame, path: str, out: str,
-                         checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+                         checkpoint: str, trigger: dict | None = None, clock: Callable[[], datetime] = datetime.now) -> StreamingQuery:
     """Every 15 minutes: store readings, rebuild the bands, keep the budget, write the snapshot."""
     def rebuild(batch: DataFrame, _: int) -> None:
         store_readings(batch, path)
-        stored, now = recent_readings(batch.sparkSession, path)
+        stored, now = recent_readings(batch.sparkSession, path, clock())
         raster = live.hazard_bands(cells, live.citywide_means(stored, F.lit(now)))
         bands = live.union_bands(raster, live.construction_bands(permits, F.lit(now)))
         sinks.write_snapshot(live.budget_fields(bands), out)
@@ -93,11 +96,11 @@ def stream_hazard_fields(readings: DataFrame, cells: DataFrame, permits: DataFra
 
 
 def stream_conditions(readings: DataFrame, alerts: DataFrame, path: str, out: str, checkpoint: str,
-                      trigger: dict | None = None) -> StreamingQuery:
+                      trigger: dict | None = None, clock: Callable[[], datetime] = datetime.now) -> StreamingQuery:
     """Keep the condition tables current: hazards, air quality, pollen and weather, summary."""
     def refresh(batch: DataFrame, _: int) -> None:
         store_readings(batch, path)
-        stored, now = recent_readings(batch.sparkSession, path)
+        stored, now = recent_readings(batch.sparkSession, path, clock())
         sinks.replace_table(live.hazard_conditions(stored, F.lit(now)), f"{out}/hazards")
         conditions = sinks.read_table(batch.sparkSession, f"{out}/hazards")
         sinks.replace_table(live.air_quality(conditions), f"{out}/air_quality")

@@ -267,3 +267,146 @@ def test_any_number_of_rasters_and_the_first_valid_value_wins(spark):
     points = spark.createDataFrame([(1, 2.0, 8.0), (2, 7.0, 2.0), (3, 2.0, 2.0), (4, 501.0, 501.0), (5, -1.0, 8.0), (6, 2.0, 8.0)], "id int, x double, y double")
     got = {r.id: r.v for r in raster.sample_raster(points, cells, meta, "v").collect()}
     assert got == {1: 70.0, 2: 7.0, 3: None, 4: None, 5: None, 6: 70.0}
+
+
+def grid_city(rng, side=12):
+    """Streets of a square city, 100 m apart, of unequal scores; some are one-way."""
+    from kerbside.vocab import WAY_SCORES
+    rows, at = [], {}
+    for x in range(side):
+        for y in range(side):
+            at[x * side + y] = (100.0 * x, 100.0 * y)
+            for dx, dy in ((1, 0), (0, 1)):
+                if x + dx < side and y + dy < side:
+                    a, b = x * side + y, (x + dx) * side + y + dy
+                    for src, dst in ((a, b), (b, a))[: 1 if rng.random() < 0.1 else 2]:
+                        scores = {n: float(rng.randint(0, 100)) for n in WAY_SCORES} | {"grade": 1.0, "industrial_within_200m": 0.0}
+                        rows.append((len(rows), len(rows), src, dst, 100.0 + rng.random(), 1.25, *scores.values()))
+    names = ", ".join(f"{n} double" for n in {n: 0 for n in WAY_SCORES} | {"grade": 0, "industrial_within_200m": 0})
+    return rows, at, f"edge_id long, osm_way_id long, src long, dst long, length_m double, speed_mps double, {names}"
+
+
+def dijkstra(edges, cost, origin):
+    import heapq
+    out, heap = {}, [(0.0, origin, None)]
+    follow = {}
+    for e in edges:
+        follow.setdefault(e[2], []).append(e)
+    while heap:
+        c, n, via = heapq.heappop(heap)
+        if n in out:
+            continue
+        out[n] = (c, via)
+        for e in follow.get(n, []):
+            w = cost.get(e[0])
+            if w is not None and e[3] not in out:
+                heapq.heappush(heap, (c + w, e[3], e[0]))
+    return out
+
+
+def test_searches_price_edges_as_they_reach_them(spark):
+    import random
+
+    from kerbside.plans.compare import attempt_price
+    rng = random.Random(8)
+    rows, at, schema = grid_city(rng, 7)
+    edges = spark.createDataFrame(rows, schema)
+    people = spark.createDataFrame([("a", "balanced", {"pm25": 3.0, "no2": 1.0}, [], 20.0, 1.0), ("b", "balanced", {"ozone": 2.0}, [], 20.0, 1.0), ("b", "fastest", {"ozone": 2.0}, [], 20.0, 1.0)],
+                                   "profile_id string, variant string, weights map<string,double>, hard_avoids array<string>, max_grade_pct double, conservatism double")
+    ends = [(0, 48), (5, 33), (20, 21), (48, 6), (0, 15), (9, 9), (16, 18)]
+    trips = spark.createDataFrame([(i, p, v, *e) for i, e in enumerate(ends) for p, v in (("a", "balanced"), ("b", "balanced"), ("b", "fastest"))],
+                                  "od_id long, profile_id string, variant string, origin long, destination long")
+    places = spark.createDataFrame([(n, *p) for n, p in at.items()], "node long, x double, y double")
+    price = attempt_price(F.when(F.col("variant") == "fastest", 0.0).otherwise(1.0))
+    full = price(edges.withColumn("areas", F.lit(None).cast("array<struct<hazard:string,severity:int>>")).crossJoin(people)).select("profile_id", "variant", "edge_id", "cost").collect()
+    costs = {}
+    for r in full:
+        costs.setdefault((r[0], r[1]), {})[r[2]] = r[3]
+    want = {(i, p, v): dijkstra(rows, costs[p, v], e[0])[e[1]][0] for i, e in enumerate(ends) for p, v in costs}
+    network = edges.withColumn("areas", F.lit(None).cast("array<struct<hazard:string,severity:int>>"))
+    sizes = []
+    for known, every in ((None, 8), (places, 1)):
+        labels = paths.path_labels(network, trips, ["profile_id", "variant"], people, price, known, settle_every=every)
+        got = {(r["od_id"], r["profile_id"], r["variant"]): r["cost"] for r in paths.arrivals(labels, trips, ["profile_id", "variant"]).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        assert labels.groupBy("profile_id", "variant", "origin", "node").count().where("count > 1").isEmpty()
+        sizes.append(labels.count())
+    assert sizes[1] < 0.9 * sizes[0]     # the bound keeps searches from looking everywhere
+
+
+def test_smoke_moves_routes_and_only_concerned_searches_run_again(spark, monkeypatch):
+    import random
+
+    from kerbside.plans import compare
+    rng = random.Random(9)
+    rows, at, schema = grid_city(rng, 5)
+    edges = spark.createDataFrame(rows, schema)
+    people = spark.createDataFrame([("lungs", {"pm25": 3.0}, [], 20.0, 0.5, 1.0), ("none", {}, [], 20.0, 0.5, 1.0)],
+                                   "profile_id string, weights map<string,double>, hard_avoids array<string>, max_grade_pct double, detour_tolerance double, conservatism double")
+    trips = spark.createDataFrame([(1, "lungs", 0, 24), (2, "none", 0, 24), (3, "lungs", 4, 20), (4, "lungs", 24, 23)],
+                                  "od_id long, profile_id string, origin long, destination long")
+    places = spark.createDataFrame([(n, *p) for n, p in at.items()], "node long, x double, y double")
+    smoke = spark.createDataFrame([(r[0], "pm25", 4) for r in rows if 1 <= r[2] % 5 <= 2 and r[2] // 5 < 3], "edge_id long, hazard string, severity int")
+    again = []
+    plain = compare.paths.path_labels
+    monkeypatch.setattr(compare.paths, "path_labels", lambda network, waiting, *more: again.append(
+        {tuple(r) for r in waiting.select("profile_id", "variant", "origin").distinct().collect()}) or plain(network, waiting, *more))
+    stale = compare.paths.stale_searches
+    monkeypatch.setattr(compare.paths, "stale_searches", lambda *given: again.append("stale") or stale(*given))
+    moved = {(r["od_id"], r["variant"]): r for r in compare.compare_scenarios(edges, people, trips, None, smoke, places=places).collect()}
+    first_again = again[again.index("stale") + 1]
+    assert not any(p == "none" or v == "fastest" for p, v, _ in first_again) and {o for _, _, o in first_again} >= {0, 4}
+    fresh, walked = compare.compare_trips(edges, people, trips, smoke, places=places)
+    clear, walked_clear = compare.compare_trips(edges, people, trips, places=places)
+    far = {(r["od_id"], r["variant"]): r["distance_m"] for r in fresh.collect()}
+    near = {(r["od_id"], r["variant"]): r["distance_m"] for r in clear.collect()}
+    way = [{}, {}]
+    for side, steps in zip(way, (walked_clear, walked)):
+        for r in steps.collect():
+            side.setdefault((r["od_id"], r["variant"]), set()).add((r["position"], r["edge_id"]))
+    assert len(moved) == 12
+    for key, r in moved.items():
+        assert abs(r["shift_m"] - abs(far[key] - near[key])) < 1e-9 and r["path_changed"] == (way[0].get(key) != way[1].get(key))
+    assert moved[1, "balanced"]["path_changed"] and not moved[2, "cleanest"]["path_changed"] and not moved[1, "fastest"]["path_changed"]
+
+
+def test_selection_of_values_that_hardly_differ(spark):
+    """Order numbers tell all doubles apart; quantiles and weighted medians need no sort."""
+    import random
+    import struct
+    rng = random.Random(10)
+    odd = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 1e-310, -1e-310, 1.0, 1.0 + 2 ** -52, 1.0 - 2 ** -53, 2.0, 8.0, 7.999999999999999, -8.0, 1e308, 1.7976931348623157e308, float("inf"), -float("inf")]
+    odd += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(500)]
+    odd = sorted(v for v in odd if v == v)
+    numbers = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v double").select("i", ranking.order_number(F.col("v")).alias("o")).orderBy("i").select("o").collect()]
+    assert all((a < b) == (x < y) for a, b, x, y in zip(odd, odd[1:], numbers, numbers[1:])) and numbers == sorted(numbers)
+    assert spark.sql("select double('NaN') v").select(ranking.order_number(F.col("v"))).first()[0] == 2 ** 63 - 1
+    close = [100.0 + rng.random() * 0.1 for _ in range(5000)]
+    rows = [(None if i % 7 == 0 else i % 3, v, rng.choice([0.0, 1.0, 2.5])) for i, v in enumerate(close)] + [(9, None, 1.0), (8, 5.0, 0.0), (8, 7.0, 0.0), (8, 6.0, None)]
+    df = spark.createDataFrame(rows, "g int, v double, w double")
+    got = {(r["g"], r["fraction"]): r["quantile"] for r in ranking.exact_quantiles(df, "v", (0.0, 0.3, 1.0), ["g"]).collect()}
+    for g in (None, 0, 1, 2, 8):
+        mine = [v for k, v, _ in rows if k == g and v is not None]
+        assert all(abs(got[g, q] - np.quantile(mine, q)) < 1e-12 for q in (0.0, 0.3, 1.0))
+    assert len(got) == 15
+    medians = {r["g"]: r["m"] for r in ranking.weighted_lower_median(df.where("g is not null"), "g", "v", "w", "m").collect()}
+    for g in (0, 1, 2):
+        mine = sorted((v, w) for k, v, w in rows if k == g)
+        run, half = 0.0, sum(w for _, w in mine) / 2
+        for v, w in mine:
+            run += w
+            if run >= half:
+                break
+        assert medians[g] == v
+    assert medians[8] == 6.0 and 9 not in medians
+
+
+def test_many_ranks_at_once_agree_with_one_at_a_time(spark):
+    import random
+    rng = random.Random(11)
+    rows = [(i, rng.choice([None, 1.0, 2.0, rng.random()]), rng.choice([None, 5.0, rng.random()]), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    for skip in (True, False):
+        got = {r["id"]: tuple(r)[1:] for r in ranking.percent_ranks_pct(df, "id", {"a": "ra", "b": "rb", "c": "rc"}, skip, 20).collect()}
+        want = [{r["id"]: r["s"] for r in ranking.percent_rank_pct(df, "id", v, "s", skip).select("id", "s").collect()} for v in "abc"]
+        assert got == {i: tuple(w[i] for w in want) for i in got} and len(got) == 300

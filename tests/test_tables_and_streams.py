@@ -164,3 +164,19 @@ def test_recent_readings_open_the_days_concerned_and_distrust_the_future(spark,
     assert sinks.expire_versions(spark, path, 1.0) == []
     jobs.store_readings(spark.createDataFrame(rows, schema), path)
     assert len(sinks.expire_versions(spark, path, -1.0)) == 1 and sinks.read_partitions(spark, path).count() == 5
+
+
+def test_a_reading_dated_a_year_ahead_changes_no_mean(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from kerbside.streaming import jobs
+    now = datetime(2024, 1, 30, 12, 0)
+    rows = [("pm25", "a", now, "openaq", 1.0, "ug/m3"), ("pm25", "b", now - timedelta(hours=1), "openaq", 3.0, "ug/m3"),
+            ("pm25", "c", now + timedelta(days=365), "openaq", 99.0, "ug/m3")]
+    schema = "hazard string, station_id string, observed_at timestamp, source string, value double, unit string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    jobs.stream_citywide_means(stream, f"{tmp_path}/t", f"{tmp_path}/out", f"{tmp_path}/chk", {"availableNow": True}, lambda: now).awaitTermination()
+    (row,) = sinks.read_table(spark, f"{tmp_path}/out").collect()
+    assert (row["hazard"], row["value"]) == ("pm25", 2.0)
+    assert sinks.read_partitions(spark, f"{tmp_path}/t").count() == 3
