@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,7 @@ from kerbside.llm.common import SPACES, keyed_text
 SALTS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x2545F4914F6CDD1D  # of the polynomial over a word's bytes, modulo 2 ** 64; odd, so that it has an inverse
+PLAIN = 16                 # bytes of the longest word that the polynomial stands for
 SPACE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
 
 
@@ -39,7 +41,8 @@ POWERS = Powers()
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """One hash per run of bytes other than ASCII white space, from running sums of a polynomial."""
+    """One hash per run of bytes other than ASCII white space, from running sums of a polynomial; long words, in which
+    a polynomial modulo a power of two can be made to collide, have their XXH64."""
     if not data:
         return np.zeros(0, np.uint64)
     signs = np.frombuffer(data, np.uint8)
@@ -53,7 +56,10 @@ def word_hashes(data: bytes) -> np.ndarray:
     out = (sums[ends] - sums[starts]) * down[starts]
     out ^= out >> np.uint64(32)
     out *= MIX
-    return out ^ (out >> np.uint64(29))
+    out ^= out >> np.uint64(29)
+    for at in np.flatnonzero(ends - starts > PLAIN).tolist():
+        out[at] = xxhash.xxh64_intdigest(data[starts[at]: ends[at]], 7)
+    return out
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
