@@ -111,19 +111,21 @@ def op2(spark, sf_dir):
 @query("op3_spaced_seeds", r"""
 WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark),
-masks AS (SELECT unnest([[0, 1, 2, 4, 6, 7], [0, 1, 3, 6, 7, 9]]) AS m),
+masks AS (SELECT * FROM (VALUES ([0, 1, 2, 4, 6, 7], 13, 1000000), ([0, 1, 3, 6, 7, 9], 13, 1000000), ([0], 1, 1), ([0, 1], 2, 2), ([0, 1, 2], 3, 3), ([0, 1, 2, 3], 4, 4), ([0, 1], 5, 5),
+  ([0, 1, 2], 6, 6), ([0, 1, 2], 7, 7), ([0, 1, 2, 3], 8, 8), ([0, 1, 2, 3], 9, 9), ([0, 1, 2], 10, 10), ([0, 1, 2], 11, 11), ([0, 1, 2, 3], 12, 12)) t(m, low, high)
+  WHERE EXISTS (SELECT 1 FROM items WHERE len(v) BETWEEN low AND high)),
 doc_seeds AS (
-  SELECT doc_id, w, p, m, list_transform(m, lambda o: w[p + 1 + o]) AS seed FROM docs, unnest(range(0, len(w) - 7)) AS u(p), masks
-  WHERE p + m[6] + 1 <= len(w)),
+  SELECT doc_id, w, p, m, low, list_transform(m, lambda o: w[p + 1 + o]) AS seed FROM docs, unnest(range(0, len(w))) AS u(p), masks
+  WHERE p + m[len(m)] + 1 <= len(w)),
 item_seeds AS (
-  SELECT item_id, v, q, m, list_transform(m, lambda o: v[q + 1 + o]) AS seed FROM items, unnest(range(0, len(v) - 7)) AS u(q), masks
-  WHERE q + m[6] + 1 <= len(v)),
-hits AS (SELECT doc_id, item_id, w, v, p, q, least(13, len(v)) AS width FROM doc_seeds JOIN item_seeds USING (m, seed)),
+  SELECT item_id, v, q, m, low, list_transform(m, lambda o: v[q + 1 + o]) AS seed FROM items, unnest(range(0, len(v))) AS u(q), masks
+  WHERE q + m[len(m)] + 1 <= len(v) AND len(v) BETWEEN low AND high),
+hits AS (SELECT doc_id, item_id, w, v, p, q, CASE WHEN len(v) >= 13 THEN 8 ELSE len(m) END AS span, least(13, len(v)) AS width FROM doc_seeds JOIN item_seeds USING (m, low, seed)),
 tries AS (
-  SELECT doc_id, item_id, p, width, list_sum(list_transform(range(0, width), lambda t: (w[p + s + t + 1] = v[q + s + t + 1])::INT)) AS same
+  SELECT doc_id, item_id, p, span, width, list_sum(list_transform(range(0, width), lambda t: (w[p + s + t + 1] = v[q + s + t + 1])::INT)) AS same
   FROM hits, unnest(range(-12, 13)) AS u(s)
   WHERE p + s >= 0 AND q + s >= 0 AND p + s + width <= len(w) AND q + s + width <= len(v) AND p + s > p - 13 AND p + s + width <= p + 13)
-SELECT doc_id, item_id, min(p)::BIGINT AS first_word, (max(p) + 8)::BIGINT AS end_word, count(DISTINCT p)::BIGINT AS n_seeds
+SELECT doc_id, item_id, min(p)::BIGINT AS first_word, max(p + span)::BIGINT AS end_word, count(DISTINCT p)::BIGINT AS n_seeds
 FROM tries WHERE same >= ceil(width * 0.8) GROUP BY doc_id, item_id""")
 def op3(spark, sf_dir):
     from kerbside.llm.leaks import leaked_lines
@@ -150,25 +152,26 @@ def op6(spark, sf_dir):
 
 # --- 7: preference formatting -------------------------------------------------------------------------------
 def answered_pairs(conversations: DataFrame) -> DataFrame:
-    """Each conversation up to its last answer, against the same turns with its neighbour's last answer instead."""
-    last = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("seq"), F.max_by("text", "turn").alias("answer"))
-    own = conversations.join(last.select("conv_id", "seq"), "conv_id", "left").withColumn("end", F.coalesce("seq", "turn")).drop("seq")
+    """Each conversation, against the same turns with its neighbour's last answer in place of its own. All turns are on both sides."""
+    last = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("seq"), F.max_by("text", "turn").alias("answer")).where("seq is not null")
     turn = ["conv_id", F.col("turn").alias("seq"), "role", "text"]
+    own = conversations.join(last.select("conv_id", F.col("seq").alias("end")), "conv_id")
+    answer = F.coalesce((F.col("turn") == F.col("end")) & (F.col("role") == "assistant"), F.lit(False))
     other = last.select(F.expr("conv_id ^ 1").alias("conv_id"), F.col("answer").alias("text")).join(last.select("conv_id", "seq"), "conv_id")
-    rejected = own.where("turn < end").select(*turn).unionByName(other.select("conv_id", "seq", F.lit("assistant").alias("role"), "text"))
-    return (own.where("turn <= end").select(*turn, F.lit(True).alias("preferred"))
+    rejected = own.where(~answer).select(*turn).unionByName(other.select("conv_id", "seq", F.lit("assistant").alias("role"), "text"))
+    return (conversations.select(*turn, F.lit(True).alias("preferred"))
             .unionByName(rejected.withColumn("preferred", F.lit(False))).withColumnRenamed("conv_id", "pair_id"))
 
 
 @query("op7_preference_format", """
-WITH last AS (SELECT conv_id, max(turn) AS seq, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+WITH last AS (SELECT conv_id, max(turn) AS seq, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id),
 sides AS (
-  SELECT c.conv_id, 'chosen' AS side, turn AS seq, role, text FROM conversations c LEFT JOIN last USING (conv_id) WHERE turn <= coalesce(last.seq, turn)
-  UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c JOIN last USING (conv_id) WHERE turn < last.seq
+  SELECT conv_id, 'chosen' AS side, turn AS seq, role, text FROM conversations
+  UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c JOIN last USING (conv_id) WHERE NOT coalesce(turn = last.seq AND role = 'assistant', false)
   UNION ALL SELECT l.conv_id, 'rejected', l.seq, 'assistant', o.answer FROM last o JOIN last l ON l.conv_id = xor(o.conv_id, 1)),
 placed AS (
-  SELECT conv_id, side, row_number() OVER (PARTITION BY conv_id, side ORDER BY seq, role, text) - 1 AS place,
-    coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
+  SELECT conv_id, side, row_number() OVER (PARTITION BY conv_id, side ORDER BY seq NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides WHERE conv_id IS NOT NULL),
 aligned AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.place, r.place) AS place FROM
     (SELECT * FROM placed WHERE side = 'chosen') c FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') r ON c.conv_id = r.conv_id AND c.place = r.place

@@ -1,6 +1,7 @@
 import random
 
 from kerbside.llm.preferences import preference_pairs
+from kerbside.llm.queries import answered_pairs
 from tests.llm.fixtures import prose, rows_of
 
 SCHEMA = "pair_id long, preferred boolean, seq int, role string, text string, at string, turn string, side string"
@@ -62,3 +63,15 @@ def test_mask_covers_the_answers_only(spark):
 
 def test_empty_table(spark):
     assert rows_of(preference_pairs(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_every_turn_is_on_both_sides_but_for_the_last_answer(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "thanks"), (0, None, "system", "s"), (1, 0, "user", "r"), (1, 1, "assistant", "b"),
+            (1, 2, "assistant", "c"), (2, 0, "user", "alone"), (3, 0, "assistant", "d"), (4, None, "assistant", "e"), (4, 0, "user", "f")]
+    pairs = answered_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {(s, p): sorted(((q is not None, q or 0), r, t) for i, q, r, t, s2 in ((x["pair_id"], x["seq"], x["role"], x["text"], x["preferred"]) for x in pairs.collect()) if (s2, i) == (s, p))
+           for s in (True, False) for p in range(5)}
+    for p in range(5):
+        assert [t for _, _, t in got[True, p]] == [t for _, t in sorted(((q is not None, q or 0), t) for i, q, r, t in rows if i == p)]
+    assert [t for _, _, t in got[False, 0]] == ["s", "q", "c", "thanks"] and [t for _, _, t in got[False, 1]] == ["r", "b", "a"]
+    assert got[False, 2] == got[False, 3] == got[False, 4] == []
